@@ -75,7 +75,9 @@ class Index:
         if self.stale:
             raise ValueError(f"index {self.name} is stale")
         hits = self.entries.where(scan.condition(self.columns))
-        return hits.join(docs, hits["_id"] == docs[f"`{id_col}`"]).orderBy(*self._order(scan.reverse))
+        both = hits.join(docs.withColumnRenamed(id_col, "__key"), F.col("_id") == F.col("__key"))
+        both = both.drop("__key") if id_col == "_id" else both.withColumnRenamed("__key", id_col)
+        return both.orderBy(*self._order(scan.reverse))
 
     def summary(self) -> DataFrame:
         return stats.summary(self.entries, self.columns)
@@ -99,7 +101,7 @@ def violations(index: Index) -> DataFrame:
 
 def maintain(index: Index, docs: DataFrame, id_col: str, changed: DataFrame) -> Index:
     """After puts and removals: entries of the ids in changed(_id) are made anew from docs; checked before anything is replaced."""
-    kept = index.entries.join(changed, "_id", "left_anti")
+    kept = index.entries.join(changed, "_id", "left_anti").select(*index.entries.columns)
     now = docs.join(changed, docs[f"`{id_col}`"] == changed["_id"], "left_semi")
     fresh = expand(now, id_col, index.fields, index.sparse).select(*kept.columns)
     out = Index(index.name, index.fields, kept.unionByName(fresh), index.unique, index.sparse)

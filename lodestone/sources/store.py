@@ -225,7 +225,8 @@ class Database:
         for name, tree in self.state.trees.items():
             if tree["kind"] == "data":
                 other._new_tree(name, "data", **tree["params"])
-                other._append(name, V.read(self.log(name), None, self.clock()).select(*other.log(name).drop("tree_id", "seq", "written_ms").columns), "backup")
+                seen = V.read(self.log(name), None, self.clock()).withColumn("end_key", F.lit(None).cast("long"))
+                other._append(name, seen.select(*other.collection(name)._columns()), "backup")
 
     def compact(self, name: str) -> None:
         """Rewrites a tree's log to what any checkpoint or reader still sees, sorted by key."""
