@@ -13,6 +13,8 @@ import re
 from array import array
 
 END_ID = 2
+#: Longer words are seldom met again.
+KEPT_LENGTH = 14
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _CUT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
@@ -34,7 +36,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """encode(text) gives the ids of a text as little-endian unsigned 32-bit integers. most: words kept at once."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 350_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,17 +54,23 @@ class Encoder(dict):
         if (out := self._parts.get(part)) is None:
             spelt = part if part.isascii() else "".join(map(self._letters.__getitem__, part.encode()))
             out = array("I", [x.id for x in self._bpe(spelt)]).tobytes()
-            if len(self._parts) >= self._most:
-                self._parts.clear()
-            self._parts[part] = out
+            if len(part) <= KEPT_LENGTH:
+                if len(self._parts) >= self._most:
+                    self._parts.clear()
+                self._parts[part] = out
         return out
 
     def __missing__(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and len(word) < 200:
+        head = word[:-1]
+        if word.isascii() and word.isalpha():
+            out = self._part(word.lower())
+        elif word[-1] in ".," and head.isascii() and head.isalpha():
+            out = self._part(head.lower()) + self._part(word[-1])
+        elif _PLAIN.fullmatch(word):
             out = b"".join(map(self._part, _CUT.findall(word.lower())))
         else:
             out = array("I", self._whole.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) < 64:
+        if len(word) <= KEPT_LENGTH:
             if len(self) >= self._most:
                 self.clear()
                 self[""] = b""
