@@ -71,3 +71,8 @@ def most_selective(candidates: list[tuple[str, int, int]]) -> str | None:
 
 def percentiles(values: DataFrame, column: str, shares: list[float]) -> DataFrame:
     return values.agg(F.percentile_approx(column, F.array(*(F.lit(s) for s in shares)), F.lit(10_000)).alias("percentiles"))
+
+
+def opaque_count(df: DataFrame, type_column: str, known: list[str]) -> DataFrame:
+    """How many values are of a type that isn't known here, by type: they are kept but neither compared nor indexed."""
+    return df.where(~F.col(type_column).isin(known)).groupBy(type_column).agg(F.count("*").alias("values"))

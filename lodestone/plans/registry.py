@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..functions import predicates as P
 from ..functions.analyzer import ascii_tokens
 from ..functions.paths import expand, resolve
+from ..functions.values import Num, index_range
 from ..operators import index as ix
-from ..operators import spatial, stats, text, vector
+from ..operators import scan, spatial, stats, text, vector
 from ..operators import versions as V
 from ..streaming import feed
 
@@ -106,6 +108,29 @@ def nested_path_variant(t):
     return t("events").select(F.col("event_id").alias("_id"), k.alias("k")).where("k >= 90")
 
 
+@query("SELECT * FROM (SELECT o_orderkey AS _id, o_totalprice, 'floor' AS seek FROM orders WHERE o_orderkey <= 555 ORDER BY o_orderkey DESC LIMIT 1) UNION ALL SELECT * FROM (SELECT o_orderkey, o_totalprice, 'higher' FROM orders WHERE o_orderkey > 555 ORDER BY o_orderkey LIMIT 1)")
+def seek_rows(t):
+    docs = t("orders").select(F.col("o_orderkey").alias("_id"), "o_totalprice")
+    floor, higher = (scan.seek(docs, "_id", 555, w).withColumn("seek", F.lit(w)) for w in ("floor", "higher"))
+    return floor.unionByName(higher)
+
+
+@query("SELECT o_orderkey AS _id, o_custkey FROM orders WHERE o_custkey = 17")
+def key_encoded_scan(t):
+    """Through encoded keys of [customer, id]: equality is a range of bytes that leaves the number's type open."""
+    keyed = keys.with_key(t("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+    found = keyed.where(keys.in_range(F.col("key"), index_range([Num(17.0, "f64")], any_number=True)))
+    return keys.id_of(found).select("_id", "o_custkey")
+
+
+@query("SELECT p_partkey AS _id FROM part WHERE p_size >= 40")
+def key_encoded_mixed_range(t):
+    """Sizes held as whole numbers by half of the parts and as real ones by the others, in one order of keys."""
+    size = F.struct(F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("long")).alias("whole"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_size").cast("double")).alias("real"))
+    keyed = keys.with_key(t("part").select("p_partkey", size.alias("size")), ["size"], "p_partkey")
+    return keys.id_of(keyed.where(keys.in_range(F.col("key"), index_range([], "ge", 40)))).select("_id")
+
+
 # --- indexes ---------------------------------------------------------------------------------
 
 
@@ -489,6 +514,17 @@ def catalog_features(t):
     return t("customer").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("c_nationkey") % 8)).alias("features"))
 
 
+@query("SELECT event_type, count(*) AS values FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY event_type")
+def opaque_values(t):
+    return stats.opaque_count(t("events"), "event_type", ["click", "view"])
+
+
+@query("SELECT quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.99) AS p99 FROM lineitem")
+def metrics_percentiles(t):
+    p = stats.percentiles(t("lineitem"), "l_quantity", [0.5, 0.99])
+    return p.select(F.col("percentiles")[0].alias("p50"), F.col("percentiles")[1].alias("p99"))
+
+
 # --- catalog -------------------------------------------------------------------------------------
 
 TREES = [("orders", 1, "data", "collection", None, False), ("users", 2, "data", "repository", None, False), ("users+eu", 3, "data", "keyed_repository", None, False), ("orders:o_custkey", 4, "index", None, "orders", False), ("orders:o_totalprice", 5, "index", None, "orders", True)]
