@@ -91,7 +91,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", longest: i
     lengths = counts.groupBy("length").agg(F.sum("n").alias("all"))
     longer = lengths.alias("a").join(lengths.alias("b"), F.col("b.length") > F.col("a.length"), "left").groupBy("a.length").agg(F.coalesce(F.sum("b.all"), F.lit(0)).alias("base"))
     first = counts.withColumn("lower", F.coalesce(F.sum("n").over(before), F.lit(0))).join(longer, "length")
-    first = first.select("length", "task", (F.col("base") + F.col("lower")).alias("first"))
+    first = materialize(first.select("length", "task", (F.col("base") + F.col("lower")).alias("first")), "first-numbers")  # of known size: sent to the pieces if it is small
     numbered = pieces.join(first, ["length", "task"])
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if ids else [])]
     return numbered.select(*columns)
