@@ -1,26 +1,55 @@
-"""Connected components of links, by alternating large-star and small-star steps on DataFrames.
+"""Connected components of links.
 
-Each step's edges are written to the shared folder; nothing but counts reaches the driver.
-A node of many links is a hash aggregate and a join that Spark can split.
+Up to AT_ONCE links, counted first, are joined by one task. Of more, alternating large-star and
+small-star steps on DataFrames find the components; each step's edges are written to the
+shared folder, and a node of many links is a hash aggregate and a join that Spark can split.
+Nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
 
 
+AT_ONCE = 1 << 20
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            up[max(a, b)] = min(a, b)
+    nodes = [*up]
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: (a, b) of one orderable type. Returns (node, root) of every node of a link between two nodes; root is the least node it reaches."""
+    """links: (a, b), longs. Returns (node, root) of every node of a link between two nodes; root is the least node it reaches."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "links")
     before = _state(edges)
+    if before[0] <= AT_ONCE:
+        return materialize(edges.repartition(1).mapInArrow(_join_all, "node long, root long"), "components")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -2,22 +2,28 @@
 
 Documents become sets of word shingles; equal sets are one class. Two classes that reach the
 threshold share one of the first tokens of both under any fixed order of all tokens (a set of
-n tokens needs its first n - ceil(t n) + 1). Classes are brought together by those tokens, a
-block for each token that several classes have; blocks with the same classes count once. The
-order puts frequent tokens last, by counts over the whole corpus, so that passages which many
+n tokens needs its first n - ceil(t n) + 1, and the smaller of the two even fewer). Classes are
+brought together by those tokens, a block for each token that several classes have, cut where
+sizes next to each other are too far apart; blocks with the same classes count once. The order puts frequent tokens last, by counts over the whole corpus, so that passages which many
 texts share rarely make blocks.
 
 In a block a signature tree does the join. Leaves are classes, each with a bitmap of its
-tokens and its size; inner nodes hold the OR of their children's bitmaps and the range of
-their sizes. Two nodes are compared from the roots down (dual traversal) and a pair is left
-as soon as no pair below can reach the threshold: by their sizes, or since at most as many
-tokens can be common as the bits of one that the other also has allow. What is left is
-decided by the exact intersection. Pairs that links already connect aren't looked at.
-
-Blocks of frequent tokens have no bound. There each class is first held against a pivot, the
-least class of the block, which connects large groups of near copies in one step; then only pairs
-of classes that aren't connected are left, and they are dealt to cells of at most CELL
-classes a side, each cell a join of two trees in a task of its own.
+tokens (two bits a token or more) and its size; inner nodes hold the OR of their children's
+bitmaps and the range of their sizes. Two nodes are compared from the roots down (dual
+traversal) and a pair is left as soon as no pair below can reach the threshold: by their
+sizes, or since no more tokens can be common than the bits both nodes have and the tokens
+beyond one a bit. Pairs that links already connect aren't looked at. Of the leaf pairs that the
+bound can't exclude, as few as connect all of them are decided by the exact intersection of
+their texts' sets. Where one of them fails, its block is traversed once more, now with eight bits
+a token and with the tokens' upper 32 bits, which decide a leaf pair but for a chance collision
+(it could only add a link, and each link is decided from the texts; if one fails, whole
+tokens are used). Only bitmaps, and tokens to the blocks traversed again, travel to the
+blocks; texts travel once for a link to be decided. No list of all pairs is ever made.
+
+Blocks of frequent tokens, or of over CELL classes, have no bound. There each class is first
+held against a pivot, the least class of the block, which connects large groups of near
+copies in one step; then only pairs of classes that aren't connected are left, and they are
+dealt to cells of at most CELL classes, each a join of two trees in a task of its own.
 
 The result is links that connect what the threshold connects: components are exact, for any
 group size, and no group is expanded into all its pairs. Tokens and sets are told apart by
@@ -29,6 +35,7 @@ repeated rows are one class; null ids never become a component's id while anothe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +46,14 @@ from pyspark.sql import types as T
 
 from .arrow import annotate, lists, ready
 from .components import components
-from .store import materialize
+from .store import discard, materialize
 from .words import NOT_SPACE, WordHasher, mix, shingles
 
-BITS, FANOUT, CELL, PIVOTS = 1024, 16, 256, 4
+LEAST_BITS, FANOUT, CELL, PIVOTS = 128, 16, 512, 2
+NARROW, WIDE, SPREAD = 2, 8, 8
 HOT, MOST_HOT, KEPT = 32, 1 << 16, 1 << 17
-MOST_SENT = 1 << 20
+MOST_SENT = 1 << 18
+MOST_SEEN = 1 << 20
 
 
 # --- token order ---------------------------------------------------------------------------
@@ -53,7 +62,7 @@ MOST_SENT = 1 << 20
 class HeavyHitters:
     """Tokens of many sets in bounded memory (Misra-Gries, fed with batches): counts are low by at most what was subtracted."""
 
-    def __init__(self, most: int = KEPT, batch: int = 1 << 21):
+    def __init__(self, most: int = KEPT, batch: int = 1 << 20):
         self._most, self._batch = most, batch
         self.tokens, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         self._waiting: list[np.ndarray] = []
@@ -95,7 +104,7 @@ def frequent_tokens(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.
         if often.any():
             yield pa.RecordBatch.from_arrays([pa.array(found.tokens[often].view(np.int64)), pa.array(found.counts[often])], names=["token", "n"])
 
-    seen = docs.select(docs[f"`{text}`"]).mapInArrow(run, "token long, n long")
+    seen = materialize(docs.select(docs[f"`{text}`"]).mapInArrow(run, "token long, n long"), "token-counts")
     top = seen.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "token").limit(MOST_HOT).toArrow()
     tokens, counts = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(tokens)
@@ -110,20 +119,27 @@ def prefix_length(n: int, percent: int) -> int:
 # --- signature trees -----------------------------------------------------------------------
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    out = np.zeros(BITS, bool)
-    out[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(out).view(np.uint64)
+def bitmap(tokens: np.ndarray, per_token: int) -> bytes:
+    """A power of two of bits, per_token bits a token at least."""
+    bits = max(LEAST_BITS, 1 << max(0, per_token * len(tokens) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(tokens & (bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps (a row each) of half the width, as if made so: a token's bit is its lowest binary digits."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
 
 
 class Tree:
-    """levels[0] are the leaves; a node of a level covers FANOUT nodes of the one below."""
+    """levels[0] are the leaves, in order of size; a node of a level covers FANOUT nodes of the one below."""
 
-    def __init__(self, names: list, sets: list[np.ndarray]):
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]), names[i]))
-        self.names, self.sets = [names[i] for i in order], [sets[i] for i in order]
-        bits = np.stack([bitmap(s) for s in self.sets])
-        sizes = np.array([len(s) for s in self.sets], np.int64)
+    def __init__(self, names: list[int], sizes: np.ndarray, bits: np.ndarray):
+        order = np.lexsort((bits[:, 0], sizes))
+        self.names = [names[i] for i in order.tolist()]
+        bits, sizes = bits[order], sizes[order]
         spare = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)  # tokens that share a bit with another
         self.levels = [(bits, sizes, sizes, spare)]
         while len(self.levels[-1][0]) > 1:
@@ -145,14 +161,13 @@ def _possible(a: tuple, i: int, b: tuple, at: np.ndarray, percent: int) -> np.nd
     return sizes & ((100 + percent) * most >= percent * least)
 
 
-def common(x: np.ndarray, y: np.ndarray) -> int:
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach percent, exactly."""
+    if len(x) > len(y):
+        x, y = y, x
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
-    return int((y[at] == x).sum())
-
-
-def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    c = common(x, y) if len(x) <= len(y) else common(y, x)
+    c = int((y[at] == x).sum())
     return 100 * c >= percent * (len(x) + len(y) - c)
 
 
@@ -177,9 +192,31 @@ class Groups:
                 self.links.append(link)
 
 
-def dual_traversal(a: Tree, b: Tree, groups: Groups, percent: int) -> None:
-    """Joins the groups of all pairs of a leaf of a and one of b that reach percent; a may be b."""
-    same = a is b
+class Leaves:
+    """What is known of the leaves: groups, and where sets are given, which pairs were held against each other."""
+
+    def __init__(self, percent: int):
+        self.groups, self.percent = Groups(), percent
+        self.sets: dict[int, np.ndarray] = {}
+        self.apart: set[tuple[int, int]] = set()
+
+    def meet(self, x: int, y: int) -> None:
+        if x == y or self.groups.root(x) == self.groups.root(y):
+            return
+        pair = (min(x, y), max(x, y))
+        if self.sets:
+            if pair in self.apart:
+                return
+            if not reaches(self.sets[x], self.sets[y], self.percent):
+                if len(self.apart) < MOST_SEEN:
+                    self.apart.add(pair)
+                return
+        self.groups.join(x, y, pair)
+
+
+def dual_traversal(a: Tree, b: Tree, leaves: Leaves) -> None:
+    """Lets each leaf of a meet each leaf of b that the bound can't exclude; a may be b."""
+    same, percent = a is b, leaves.percent
     stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, np.zeros(1, np.int64))]
     while stack:
         la, i, lb, at = stack.pop()
@@ -188,11 +225,8 @@ def dual_traversal(a: Tree, b: Tree, groups: Groups, percent: int) -> None:
             continue
         if la == 0 and lb == 0:
             for j in at.tolist():
-                if same and j <= i:
-                    continue
-                x, y = a.names[i], b.names[j]
-                if x != y and groups.root(x) != groups.root(y) and reaches(a.sets[i], b.sets[j], percent):
-                    groups.join(x, y, (x, y))
+                if not (same and j <= i):
+                    leaves.meet(a.names[i], b.names[j])
         elif lb >= la:
             below = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             below = below[below < len(b.levels[lb - 1][0])]
@@ -205,22 +239,42 @@ def dual_traversal(a: Tree, b: Tree, groups: Groups, percent: int) -> None:
                 stack.append((la - 1, k, lb, at))
 
 
-def tree_join(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tuple]:
-    """Links among left, or between left and right. Rows: (name, sorted tokens, group or None); a group is known to be connected."""
-    groups = Groups()
-    for name, _, group in [*left, *(right or [])]:
-        if group is not None and group != name:
-            groups.join(group, name)
-    a = Tree([x[0] for x in left], [x[1] for x in left])
-    dual_traversal(a, a if right is None else Tree([x[0] for x in right], [x[1] for x in right]), groups, percent)
-    return groups.links
+def _by_width(side: dict[int, tuple[int, bytes, int | None]]) -> dict[int, tuple[list, np.ndarray, np.ndarray]]:
+    """Names, sizes and bitmaps of each width."""
+    out: dict[int, list] = {}
+    for name, (n, bits, _) in side.items():
+        out.setdefault(len(bits) * 8, []).append((name, n, bits))
+    return {w: ([x[0] for x in rows], np.array([x[1] for x in rows], np.int64), np.frombuffer(b"".join(x[2] for x in rows), np.uint64).reshape(len(rows), -1)) for w, rows in out.items()}
+
+
+def tree_pairs(left: dict, right: dict | None, leaves: Leaves) -> None:
+    """Lets leaves meet among left, or between left and right: name -> (size, bitmap, group or None); a group is connected already.
+
+    Sets of one width have a tree, and sets that can reach each other differ by one width at most."""
+    for side in (left, right or {}):
+        for name, (_, _, group) in side.items():
+            if group is not None and group != name:
+                leaves.groups.join(group, name)
+    a = _by_width(left)
+    b = a if right is None else _by_width(right)
+    trees = {w: Tree(*x) for w, x in a.items()}
+    others = trees if right is None else {w: Tree(*x) for w, x in b.items()}
+    for w, tree in trees.items():
+        if w in others:
+            dual_traversal(tree, others[w], leaves)
+        if 2 * w in b:
+            names, sizes, bits = b[2 * w]
+            dual_traversal(tree, Tree(names, sizes, folded(bits)), leaves)
+        if right is not None and w // 2 in b:
+            names, sizes, bits = a[w]
+            dual_traversal(Tree(names, sizes, folded(bits)), others[w // 2], leaves)
 
 
 # --- the join ------------------------------------------------------------------------------
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, h (hash of the text), n, cls (hash of the set; null if empty), first (leading tokens), hot (those of them that are frequent)."""
+    """doc_id, h (hash of the text), n, cls (hash of the set; null if empty), bits (its bitmap), first (leading tokens), hot (those of them that are frequent)."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
     rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("t")).withColumn("h", F.xxhash64("t"))
 
@@ -228,7 +282,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, order:
         hasher, (frequent, counts) = WordHasher(NOT_SPACE), sent.value
 
         def work(column):
-            sizes, classes, first, hot = [], [], [], []
+            sizes, classes, bits, first, hot = [], [], [], [], []
             nothing = np.empty(0, np.int64)
             for _, part in hasher.texts(column):
                 for words in part:
@@ -237,10 +291,12 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, order:
                     sizes.append(n)
                     if not n:
                         classes.append(None)
+                        bits.append(None)
                         first.append(nothing)
                         hot.append(nothing)
                         continue
                     classes.append(int(mix(mix(tokens).sum(keepdims=True) + np.uint64(n)).view(np.int64)[0]))
+                    bits.append(bitmap(tokens, NARROW))
                     p = prefix_length(n, percent)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -254,51 +310,133 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, order:
                         hot.append(late[np.lexsort((late, times))][: p - len(rare)].view(np.int64))
                     else:
                         hot.append(nothing)
-            return [pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists(first, pa.int64()), lists(hot, pa.int64())]
+            return [pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), lists(first, pa.int64()), lists(hot, pa.int64())]
 
         return work
 
     tokens = T.ArrayType(T.LongType())
-    fields = [T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("first", tokens), T.StructField("hot", tokens)]
+    fields = [T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("first", tokens), T.StructField("hot", tokens)]
     return materialize(annotate(rows, ["t"], make, fields, ["doc_id", "h"]), "sets")
 
 
-def _same_blocks_once(rows: DataFrame) -> DataFrame:
-    """Of (token, cls): one token for each set of classes, as (token)."""
-    each = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit("block"), "cls")).alias("y"))
-    return each.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
+def _same_blocks_once(rows: DataFrame, block: str) -> DataFrame:
+    """Of rows (block, cls): one block for each set of classes."""
+    each = rows.groupBy(block).agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit("block"), "cls")).alias("y"))
+    return each.where("n > 1").groupBy("n", "x", "y").agg(F.min(block).alias(block)).select(block)
 
 
-def _tree_links(cells: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """cells: (cell, side, cls, grp): in each cell side 0 is joined with side 1, or with itself where no side 1 is there. Returns links (a, b)."""
+def _candidates(cells: DataFrame, classes: DataFrame, percent: int, size: int = 0) -> DataFrame:
+    """cells: (cell, side, cls, grp): in each cell side 0 is joined with side 1, or with itself where no side 1 is there. classes: (cls, n, bits); with a size, bits are the tokens, in so many bytes each, and cells have a lead: those of one share a task and what they find. Returns (cell, a, b) to be decided."""
     ready(cells.sparkSession)
-    rows = cells.join(texts, "cls").select("cell", "side", "cls", "grp", "t")
-    rows = rows.repartition("cell").sortWithinPartitions("cell")
+    if size:  # tokens travel once to the task where cells of the same lead meet, before the cells
+        sent = cells.select("lead", "cls").distinct().join(classes, "cls").withColumns({"cell": F.lit(None).cast("long"), "side": F.lit(0), "grp": F.lit(None).cast("long")})
+        rows = cells.withColumns({"n": F.lit(None).cast("long"), "bits": F.lit(None).cast("binary")}).unionByName(sent)
+    else:
+        rows = cells.withColumn("lead", F.col("cell")).join(classes, "cls")
+    rows = rows.select("lead", "cell", "side", "cls", "grp", "n", "bits").repartition("lead").sortWithinPartitions(F.col("lead"), F.col("cell").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, now, sides, out = WordHasher(NOT_SPACE), None, ({}, {}), []
+        now, sides, out, leaves, told, known = (None, None), ({}, {}), [], Leaves(percent), 0, {}
 
         def close():
-            left, right = ([(c, s, g) for c, (s, g) in side.items()] for side in sides)
+            nonlocal told
+            left, right = sides
             if left and (right or len(left) > 1):
-                out.extend(tree_join(left, right or None, percent))
+                tree_pairs(left, right or None, leaves)
+                links = leaves.groups.links
+                out.extend((now[1], *pair) for pair in links[told:])
+                told = len(links)
+
+        def made():
+            batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["cell", "a", "b"])
+            out.clear()
+            return batch
 
         for batch in batches:
-            cells_, side_, cls_, grp_ = (batch.column(i).to_pylist() for i in range(4))
-            tokens = [shingles(words, k) for _, part in hasher.texts(batch.column(4)) for words in part]
-            for cell, side, cls, grp, s in zip(cells_, side_, cls_, grp_, tokens):
-                if cell != now:
+            for lead, cell, side, cls, grp, n, bits in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (lead, cell) != now:
                     close()
-                    now, sides = cell, ({}, {})
-                sides[side][cls] = (s, grp)
+                    if lead != now[0]:
+                        leaves, told = Leaves(percent), 0
+                        known.clear()
+                    now, sides = (lead, cell), ({}, {})
+                if size and cell is None:
+                    leaves.sets[cls] = tokens = np.frombuffer(bits, f"<u{size}")
+                    known[cls] = (n, bitmap(tokens, WIDE))
+                else:
+                    sides[side][cls] = (*(known[cls] if size else (n, bits)), grp)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-                out.clear()
+                yield made()
         close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield made()
+
+    return rows.mapInArrow(run, "cell long, a long, b long")
+
+
+def _decided(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs: distinct (a, b). Returns (a, b, ok): whether their sets reach percent, from their texts."""
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
+    rows = sides.join(texts, "cls").select("a", "b", "cls", "t").repartition("a", "b").sortWithinPartitions("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, now, held = WordHasher(NOT_SPACE), None, {}
+        for batch in batches:
+            out = []
+            tokens = (shingles(words, k) for _, part in hasher.texts(batch.column(3)) for words in part)
+            for a, b, cls, s in zip(*(batch.column(i).to_pylist() for i in range(3)), tokens):
+                if (a, b) != now:
+                    now, held = (a, b), {}
+                if cls not in held:
+                    held[cls] = s
+                    if len(held) == 2:
+                        out.append((a, b, reaches(*held.values(), percent)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], names=["a", "b", "ok"])
+
+    return rows.mapInArrow(run, "a long, b long, ok boolean")
+
+
+def _links(cells: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """(a, b): links that connect all pairs of all cells that reach percent. cells is a written table."""
+
+    def decide(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        return materialize(_decided(pairs, _texts(docs, doc_id, text, needed, classes), k, percent), "decided")
+
+    asked = materialize(_candidates(cells, classes.select("cls", "n", "bits"), percent), "asked")
+    done = decide(asked.select("a", "b").distinct())
+    links = done.where("ok").select("a", "b")
+    for size in (4, 8):
+        wrong = done.where("not ok")
+        if wrong.isEmpty():
+            break
+        if size == 4:
+            again = materialize(asked.join(wrong, ["a", "b"], "left_semi").select("cell").distinct(), "again")
+            cells = cells.join(again, "cell", "left_semi")
+        left = cells.join(components(links), F.col("cls") == F.col("node"), "left").select("cell", "side", "cls", F.coalesce("root", "grp").alias("grp"))
+        lead = cells.groupBy("cell").agg(F.xxhash64(F.min("cls"), F.max("cls"), F.pmod("cell", F.lit(SPREAD))).alias("lead"))
+        cells = materialize(left.join(lead, "cell"), "left")
+        tokens = _tokens(_texts(docs, doc_id, text, cells.select("cls").distinct(), classes), k, size)
+        asked = materialize(_candidates(cells, tokens, percent, size), "asked-again")
+        done = decide(asked.select("a", "b").distinct())
+        links = links.unionByName(done.where("ok").select("a", "b"))
+    return links
+
+
+def _tokens(texts: DataFrame, k: int, size: int) -> DataFrame:
+    """(cls, n, bits): the sorted tokens of each class, their upper `size` bytes each."""
+
+    def make():
+        hasher = WordHasher(NOT_SPACE)
+
+        def work(column):
+            sets = [shingles(words, k) for _, part in hasher.texts(column) for words in part]
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([(s >> np.uint64(64 - 8 * size)).astype(f"<u{size}").tobytes() for s in sets], pa.binary())]
+
+        return work
 
-    return rows.mapInArrow(run, "a long, b long")
+    return annotate(texts, ["t"], make, [T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType())], ["cls"])
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, needed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -316,64 +454,75 @@ def _cells(rows: DataFrame) -> DataFrame:
     """rows: (token, cls, grp), connected classes with one grp. Pairs of parts of the classes outside a token's largest group, and of those with the largest group."""
     sizes = rows.groupBy("token", "grp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("token").agg(F.max_by("grp", F.struct("n", "grp")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("top_n"), F.count("*").alias("groups"))
-    open_ = largest.where("groups > 1").select("token", "top", F.col("top_n"), (F.col("all") - F.col("top_n")).alias("rest_n"))
-    marked = rows.join(open_, "token")
-    rest = marked.where("grp <> top")
-    main = marked.where("grp = top")
-    cut = lambda df, size, name: df.withColumn("parts", F.greatest(F.ceil(F.col(size) / (CELL // 2)).cast("int"), F.lit(1))).withColumn(name, F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    rest, main = cut(rest, "rest_n", "part"), cut(main, "top_n", "part")
-    rest_parts = F.greatest(F.ceil(F.col("rest_n") / (CELL // 2)).cast("int"), F.lit(1))
-    top_parts = F.greatest(F.ceil(F.col("top_n") / (CELL // 2)).cast("int"), F.lit(1))
-    every = lambda n: F.sequence(F.lit(0), n - 1)
+    parts = lambda n: F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n / (CELL // 2), F.lit(1.0))))).cast("int")  # noqa: E731  a power of two, so that tokens deal the same classes alike
+    open_ = largest.where("groups > 1").select("token", "top", parts(F.col("all") - F.col("top_n")).alias("rest_parts"), parts(F.col("top_n")).alias("top_parts"))
+    marked = rows.join(open_, "token").withColumn("hash", F.xxhash64("cls"))
+    rest = marked.where("grp <> top").withColumn("part", F.pmod("hash", "rest_parts").cast("int"))
+    main = marked.where("grp = top").withColumn("part", F.pmod("hash", "top_parts").cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pair = lambda i, j, kind: F.xxhash64("token", i, j, F.lit(kind))
-    inner = rest.withColumn("other", F.explode(every(rest_parts)))
+    inner = rest.withColumn("other", every("rest_parts"))
     inner = inner.select(pair(F.least("part", "other"), F.greatest("part", "other"), "rest").alias("cell"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "grp")
-    outer = rest.withColumn("other", F.explode(every(top_parts))).select(pair(F.col("part"), F.col("other"), "top").alias("cell"), F.lit(0).alias("side"), "cls", "grp")
-    across = main.withColumn("other", F.explode(every(rest_parts))).select(pair(F.col("other"), F.col("part"), "top").alias("cell"), F.lit(1).alias("side"), "cls", "grp")
+    outer = rest.withColumn("other", every("top_parts")).select(pair(F.col("part"), F.col("other"), "top").alias("cell"), F.lit(0).alias("side"), "cls", "grp")
+    across = main.withColumn("other", every("rest_parts")).select(pair(F.col("other"), F.col("part"), "top").alias("cell"), F.lit(1).alias("side"), "cls", "grp")
     return inner.unionByName(outer).unionByName(across)
 
 
 def _joined(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(sets: doc_id, h, n, cls of every row; members: cls, doc_id, h of the row that stands for each class, and root, its component)."""
-    sets = _sets(docs, doc_id, text, k, percent, frequent_tokens(docs, text, k))
+    made = _sets(docs, doc_id, text, k, percent, frequent_tokens(docs, text, k))
     stand = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s")
-    classes = sets.where("cls is not null").groupBy("cls").agg(stand, F.any_value("first").alias("first"), F.any_value("hot").alias("hot"))
-    classes = materialize(classes.select("cls", "s.doc_id", "s.h", "first", "hot"), "classes")
+    classes = made.where("cls is not null").groupBy("cls").agg(stand, *(F.any_value(x).alias(x) for x in ("n", "bits", "first", "hot")))
+    classes = materialize(classes.select("cls", "s.doc_id", "s.h", "n", "bits", "first", "hot"), "classes")
+    sets = materialize(made.select("doc_id", "h", "n", "cls"), "rows")
+    discard(made)
 
     # Blocks of rare tokens: few classes each, gathered by token.
-    pairs = classes.select("cls", F.explode("first").alias("token")).repartition("token")
-    shared = pairs.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1")
-    shared = materialize(shared, "shared")
-    large = shared.where(F.col("n") > CELL).select("token", "cls")
-    shared = shared.where(F.col("n") <= CELL).select("token", "cls")
-    blocks = shared.join(_same_blocks_once(shared), "token", "left_semi")
-    small = blocks.select(F.xxhash64(F.lit("small"), "token").alias("cell"), F.lit(0).alias("side"), "cls", F.lit(None).cast("long").alias("grp"))
+    at_most = F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}")  # places of the smaller set's first common token
+    pairs = classes.select("cls", "n", F.posexplode("first").alias("place", "token")).select("token", "cls", "n", (F.col("place") <= at_most).alias("early")).repartition("token")
+    order = Window.partitionBy("token").orderBy("n", "cls")
+    near = lambda less, more: F.coalesce(100 * less >= percent * more, F.lit(False))
+    seen = pairs.withColumns({
+        "many": F.count("*").over(Window.partitionBy("token")),
+        "before": F.lag("n").over(order),
+        "after": F.lead("n").over(order),
+        "early_n": F.max(F.when(F.col("early"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+    }).withColumn("run", F.sum(F.when(near(F.col("before"), F.col("n")), 0).otherwise(1)).over(order))
+    partnered = near(F.col("early_n"), F.col("n")) | (F.col("early") & near(F.col("n"), F.col("after")))
+    shared = materialize(seen.where(F.col("many") > 1).where(partnered).select("token", "cls", "n", "many", F.xxhash64("token", "run").alias("cell")), "shared")
+    large = shared.where(F.col("many") > CELL).select("token", "cls", "n")
+    small = shared.where(F.col("many") <= CELL).select("cell", "cls")
+    small = small.join(_same_blocks_once(small, "cell"), "cell", "left_semi")
+    small = small.select(F.xxhash64(F.lit("small"), "cell").alias("cell"), F.lit(0).alias("side"), "cls", F.lit(None).cast("long").alias("grp"))
 
     # Blocks of frequent tokens, and others beyond CELL classes: of any size, so never gathered whole.
-    hot = classes.select(F.explode("hot").alias("token"), "cls")
-    several = hot.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    hot = materialize(hot.join(several, "token", "left_semi").unionByName(large), "hot")
+    # Sets that can reach each other are of one level of sizes or of two that follow each other.
+    often = classes.select(F.explode("hot").alias("token"), "cls", "n").unionByName(large)
+    level = F.floor(F.ln("n") / (1.0001 * math.log(100 / percent))).cast("int")
+    levels = often.select(F.explode(F.array(level, level + 1)).alias("level"), "token", "cls").select(F.xxhash64("token", "level").alias("token"), "cls")
+    hot = materialize(levels, "hot")
+    several = hot.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    hot = materialize(hot.join(several.select("token"), "token", "left_semi"), "several")
     links = None
     grouped = hot.withColumn("grp", F.col("cls"))
-    for round_ in range(PIVOTS):
+    for _ in range(PIVOTS):
         sizes = grouped.groupBy("token", "grp").agg(F.count("*").alias("n"))
         top = sizes.groupBy("token").agg(F.max_by("grp", F.struct("n", "grp")).alias("top"), F.count("*").alias("groups"), F.sum("n").alias("all"))
-        busy = top.where(F.col("groups") > 1).where(F.col("all") > CELL)
-        outside = grouped.join(busy, "token").where(F.lit(True) if round_ == 0 else F.col("grp") != F.col("top"))
-        pivots = outside.groupBy("token").agg(F.min("cls").alias("pivot"))
-        trial = grouped.join(pivots, "token").where("cls <> pivot").select("pivot", "cls", "grp").distinct()
-        part = F.pmod(F.xxhash64("cls"), F.lit(64)).cast("int")
-        side = trial.select(F.xxhash64("pivot", part).alias("cell"), F.lit(1).alias("side"), "cls", "grp", "pivot")
-        star = materialize(side.select("cell", "side", "cls", F.lit(None).cast("long").alias("grp")).unionByName(side.select("cell", F.lit(0).alias("side"), F.col("pivot").alias("cls"), F.lit(None).cast("long").alias("grp")).distinct()), "trial")
-        if star.isEmpty():
+        busy = materialize(top.where((F.col("groups") > 1) & (F.col("all") > CELL)).select("token", "top"), "busy")
+        if busy.isEmpty():
             break
-        made = materialize(_tree_links(star, _texts(docs, doc_id, text, star.select("cls").distinct(), classes), k, percent), "star-links")
-        links = made if links is None else materialize(links.unionByName(made), "links")
-        roots = components(links)
-        grouped = materialize(hot.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "token", F.coalesce("root", "cls").alias("grp")), "grouped")
-    left = grouped.join(_same_blocks_once(grouped.select("token", "cls")), "token", "left_semi")
+        within = grouped.join(busy, "token")
+        pivots = within.where((F.col("grp") != F.col("top")) | (F.col("cls") == F.col("grp"))).groupBy("token").agg(F.min("cls").alias("pivot"))
+        trial = materialize(within.join(pivots, "token").where("cls <> pivot").select("pivot", "cls").distinct(), "trial")
+        cell = F.xxhash64("pivot", F.pmod(F.xxhash64("cls"), F.lit(64)))
+        none = F.lit(None).cast("long").alias("grp")
+        star = trial.select(cell.alias("cell"), F.lit(1).alias("side"), "cls", none).unionByName(trial.select(cell.alias("cell"), F.lit(0).alias("side"), F.col("pivot").alias("cls"), none).distinct())
+        found = materialize(_links(materialize(star, "star"), classes, docs, doc_id, text, k, percent), "star-links")
+        links = found if links is None else links.unionByName(found)
+        grouped = materialize(hot.join(components(links), F.col("cls") == F.col("node"), "left").select("cls", "token", F.coalesce("root", "cls").alias("grp")), "grouped")
+    left = grouped.join(_same_blocks_once(grouped, "token"), "token", "left_semi")
     cells = materialize(small.unionByName(_cells(left)), "cells")
-    found = _tree_links(cells, _texts(docs, doc_id, text, cells.select("cls").distinct(), classes), k, percent)
+    found = _links(cells, classes, docs, doc_id, text, k, percent)
     roots = materialize(components(found if links is None else found.unionByName(links)), "roots")
 
     members = classes.select("cls", "doc_id", "h").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", "h", F.coalesce("root", "cls").alias("root"))

@@ -29,14 +29,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{_FOLDER}/{name}-{uuid.uuid4().hex}"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_RECORDS = 2000
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    While it is written, Python gets at most MOST_RECORDS rows at once, as rows hold whole texts.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), MOST_RECORDS) if int(before) > 0 else MOST_RECORDS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a written table that nothing will read again."""
+    spark = table.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if f"/{_FOLDER}/" in file:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all work tables in the shared folder; call it when no returned DataFrame is needed any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_FOLDER}")
