@@ -90,3 +90,36 @@ u AS (SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_A}', '{_
 m AS (SELECT u.n, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY u.n ORDER BY length(r.host || r.path) DESC) AS best
       FROM u JOIN r ON (u.host = r.host OR suffix(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.n = m.n AND m.best = 1"""
+
+#: crc32 by its table, which is made from the polynomial; slots, owners and growth as in sharding.SlotMap.
+SQL["op3_sharding"] = """
+WITH RECURSIVE b(n, c, k) AS (SELECT n, n, 0 FROM range(256) t(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM b WHERE k < 8),
+t AS (SELECT list(c ORDER BY n) AS crc FROM b WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+h AS (SELECT r, hex(encode(text)) AS hex FROM d),
+x AS (SELECT r, list_transform(range(1, length(hex), 2), lambda i: CAST('0x' || substr(hex, i, 2) AS BIGINT)) AS bytes FROM h),
+c AS (SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, y: xor(s >> 8, crc[(xor(s, y) & 255) + 1])), 4294967295) AS text_crc32 FROM x, t),
+s AS (SELECT d.r, doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size, text_crc32, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 8192 AS INTEGER) AS virtual_slot FROM d JOIN c USING (r)),
+v AS (SELECT *, CAST(virtual_slot % 40 AS INTEGER) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id, text_crc32, size) - 1 AS slot,
+CASE WHEN (virtual_slot // 40 + 1 + shard) % 41 = 0 THEN 40 ELSE shard END AS grown_shard, virtual_slot FROM v"""
+SQL["op4_ngram_jaccard"] = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_A}', '{_B}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[p : p + 3], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM i JOIN n x ON a = x.r JOIN n y ON b = y.r WHERE 100 * c >= 85 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c(r, o) AS (SELECT r, r FROM d UNION SELECT c.r, l.b FROM c JOIN l ON c.o = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(o.doc_id) AS component_id FROM d JOIN c ON d.r = c.r JOIN d o ON c.o = o.r LEFT JOIN n ON d.r = n.r GROUP BY d.r, d.doc_id, n.n"""
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_B}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL["op10_decontaminate"] = rf"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, m, array_to_string(w[p : p + m - 1], ' ') AS g FROM (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+dg AS (SELECT r, m, p, array_to_string(w[p : p + m - 1], ' ') AS g FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
+h AS (SELECT r, p, dg.m, item FROM dg JOIN win ON dg.m = win.m AND dg.g = win.g),
+q AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + m)) AS q FROM h) GROUP BY r),
+f AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN q USING (r) LEFT JOIN f USING (r)"""
