@@ -30,6 +30,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,9 +79,9 @@ class ShardWriter:
         else:
             self._first = key
         n = len(ids) // 4
-        values = memoryview(ids).cast("I")
-        width = 2 if not n or max(values) < 65536 else 4
-        body = ids if width == 4 else struct.pack(f"<{n}H", *values) if n < 64 else _narrow(ids)
+        values = np.frombuffer(ids, "<u4")
+        width = 2 if not n or values.max() < 65536 else 4
+        body = ids if width == 4 else values.astype("<u2").tobytes()
         entry = _ENTRY.pack(shared, 8 - shared, n, width) + key[shared:] + body
         self._block.append(entry)
         self._last = key
@@ -115,12 +116,6 @@ class ShardWriter:
         return b"".join([*self._done, index, bytes(table), foot])
 
 
-def _narrow(ids: bytes) -> bytes:
-    import numpy as np
-
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
 class Shard:
     """Reads a shard's bytes: get(id) by binary search, items() in order."""
 
@@ -179,8 +174,6 @@ class Shard:
 
 
 def _wide(raw: bytes, width: int):
-    import numpy as np
-
     return np.frombuffer(raw, f"<u{width}").astype("<u4")
 
 
@@ -194,10 +187,12 @@ def sort_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(LEAST))
 
 
-def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Writes shards to folder (file:, hdfs:, s3: or gs: as pyarrow reads them) and returns a written table of them: part, file, first_id, last_id, entries, tokens, bytes. Order of (part, file) is order of ids."""
     spark = docs.sparkSession
     ready(spark)
+    home = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    home.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(home)
     path = path or vocabulary_path()
     end = end_id.to_bytes(4, "little")
     rows = docs.select(sort_key(docs[f"`{doc_id}`"]).alias("k"), docs[f"`{text}`"].alias("t")).withColumn("h", F.xxhash64("t"))
@@ -226,7 +221,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if writer is None:
-                    writer, first = ShardWriter(), k
+                    writer, first = ShardWriter(block_bytes), k
                 writer.add(k, encoder.encode(t.as_py()) + end)
                 last = k
                 if writer.size >= shard_bytes:
@@ -267,8 +262,9 @@ def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
     before = (Window.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("tokens").alias("t"))
     parts = parts.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("base"))
-    starts = shards.join(F.broadcast(parts), "part").select("file", (F.col("base") + F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("file").rowsBetween(*before)), F.lit(0))).alias("from"))
-    return rows.join(F.broadcast(starts), "file").select("doc_id", (F.col("from") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+    starts = shards.join(parts, "part").select("file", (F.col("base") + F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("file").rowsBetween(*before)), F.lit(0))).alias("from"))
+    starts = materialize(starts, "starts")  # of known size: sent to the documents if it is small
+    return rows.join(starts, "file").select("doc_id", (F.col("from") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, folder: str, shards: DataFrame, doc_id: int) -> list[int] | None:
