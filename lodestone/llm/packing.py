@@ -89,7 +89,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", longest: i
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     lengths = counts.groupBy("length").agg(F.sum("n").alias("all"))
-    longer = lengths.alias("a").join(lengths.alias("b"), F.col("b.length") > F.col("a.length"), "left").groupBy("a.length").agg(F.coalesce(F.sum("b.all"), F.lit(0)).alias("base"))
+    longer = lengths.select("length", F.coalesce(F.sum("all").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row a length
     first = counts.withColumn("lower", F.coalesce(F.sum("n").over(before), F.lit(0))).join(longer, "length")
     first = materialize(first.select("length", "task", (F.col("base") + F.col("lower")).alias("first")), "first-numbers")  # of known size: sent to the pieces if it is small
     numbered = pieces.join(first, ["length", "task"])

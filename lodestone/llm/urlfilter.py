@@ -36,7 +36,7 @@ from .words import mix
 #: Fixed values of the contract: (host, path prefix, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_BYTES, MOST_LEVELS = 64 << 20, 40
+MOST_BYTES, MOST_LEVELS, MOST_RULES = 64 << 20, 40, 100_000
 
 
 def host_and_path(url: Column) -> list[Column]:
@@ -173,7 +173,7 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id: s
     rows = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
     hashed = table.select(*(h.alias(n) for n, h in zip(("h1", "h2"), key_hashes(F.col("host"), F.col("path")))), "verdict")
     keys = rows.select(F.explode("keys").alias("k")).select(*(h.alias(n) for n, h in zip(("h1", "h2"), key_hashes(F.col("k.host"), F.col("k.path"))))).distinct()
-    others = materialize(keys.join(F.broadcast(hashed), ["h1", "h2"], "left_anti"), "others")
+    others = materialize(keys.join(F.broadcast(hashed) if len(rules) <= MOST_RULES else hashed, ["h1", "h2"], "left_anti"), "others")
     first = build_cascade(hashed.select("h1", "h2"), others, most_bytes=most_bytes)
     second = build_cascade(hashed.where("verdict = 'block'").select("h1", "h2"), hashed.where("verdict = 'allow'").select("h1", "h2"), most_bytes=most_bytes)
     rows = rows.withColumn("hashes", F.transform("keys", lambda k: F.struct(*(h.alias(n) for n, h in zip(("h1", "h2"), key_hashes(k["host"], k["path"]))))))

@@ -493,3 +493,39 @@ def test_no_long_span_is_missed(doc, item):
     windows = {tuple(item[k : k + 10]) for k in range(len(item) - 9)}
     want = {p for k in range(len(doc) - 9) if tuple(doc[k : k + 10]) in windows for p in range(k, k + 10)}
     assert {p for a, b in spans for p in range(a, b)} == want
+
+
+# --- shared folder ---------------------------------------------------------------------------
+
+
+def test_shared_folder_is_said_in_full(spark, tmp_path, monkeypatch):
+    from lodestone.llm import store
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, *_):
+            return self.value
+
+    class Session:
+        _jvm, _jsc, sparkContext = spark._jvm, spark._jsc, spark.sparkContext
+
+        def __init__(self, value):
+            self.conf = Conf(value)
+
+    assert store.shared_dir(Session(f"{tmp_path}/x/")) == f"file://{tmp_path}/x"
+    assert store.shared_dir(Session("file:///a/b")) == "file:///a/b"
+    assert store.shared_dir(Session("hdfs://host/a")) == "hdfs://host/a"
+
+
+def test_written_tables(spark):
+    from lodestone.llm import store
+
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = store.materialize(spark.range(5), "t")
+    assert made.count() == 5 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    assert store.materialize(spark.range(0), "none").count() == 0
+    store.discard(made)
+    with pytest.raises(Exception):
+        spark.read.parquet(made.inputFiles()[0]).count()
