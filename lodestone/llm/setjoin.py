@@ -23,7 +23,7 @@ blocks; texts travel once for a link to be decided. No list of all pairs is ever
 Blocks of frequent tokens, or of over CELL classes, have no bound. There each class is first
 held against a pivot, the least class of the block, which connects large groups of near
 copies in one step; then only pairs of classes that aren't connected are left, and they are
-dealt to cells of at most CELL classes, each a join of two trees in a task of its own.
+dealt to cells of about CELL classes at most, each a join of two trees in a task of its own.
 
 The result is links that connect what the threshold connects: components are exact, for any
 group size, and no group is expanded into all its pairs. Tokens and sets are told apart by
