@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.paths import expand
+from . import scan as scans
 from . import stats
 
 
@@ -67,6 +68,10 @@ class Index:
         """v1..vk, _id in index order, without reading documents."""
         return self.entries.where(scan.condition(self.columns)).orderBy(*self._order(scan.reverse))
 
+    def numbered(self, scan: Scan = Scan()) -> DataFrame:
+        """All of covering's rows with their places from 1."""
+        return scans.numbered(self.entries.where(scan.condition(self.columns)), self._order(scan.reverse)).orderBy("place")
+
     def lookup(self, scan: Scan = Scan()) -> DataFrame:
         return self.covering(scan).select("_id")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,16 @@ def walk(df: DataFrame, key: str, take: int, reverse: bool = False) -> Iterator[
         after = rows[-1][key]
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """All rows with their places from 1 in this order: places within ranges of keys, after the counts of the ranges before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = ranged.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__inner", inner).join(F.broadcast(bases), "__part").withColumn(name, F.col("__base") + F.col("__inner")).select(*df.columns, name)
+
+
 def counted(df: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
     """df, and an observation with rows and the bytes of its string and binary columns, there once df has been read."""
     seen = Observation(name)

@@ -87,6 +87,13 @@ def reverse_scan(t):
     return ranked(t("orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("_id")).orderBy(F.desc("_id")).limit(50), F.desc("_id"))
 
 
+@query("SELECT o_orderkey AS _id, row_number() OVER (ORDER BY o_orderkey DESC) AS place FROM orders")
+def reverse_scan_all(t):
+    """reverse_scan over every key, where that one takes 50."""
+    docs = t("orders").select(F.col("o_orderkey").alias("_id"))
+    return scan.numbered(docs, [F.desc_nulls_last("_id")]).orderBy("place")
+
+
 @query("SELECT * FROM (SELECT o_orderkey AS _id, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 100)")
 def skip_take_page(t):
     return t("orders").select(F.col("o_orderkey").alias("_id"), "o_totalprice").orderBy("_id").offset(100).limit(25)
@@ -170,6 +177,12 @@ def index_full_scan_reverse(t):
     return ranked(_orders_index(t).covering(ix.Scan(reverse=True)).limit(100), F.desc("v1"), F.desc("v2"), F.desc("_id"))
 
 
+@query("SELECT o_custkey AS v1, o_totalprice AS v2, o_orderkey AS _id, row_number() OVER (ORDER BY o_custkey DESC, o_totalprice DESC, o_orderkey DESC) AS place FROM orders")
+def index_full_scan_reverse_all(t):
+    """index_full_scan_reverse over every entry, where that one takes 100."""
+    return _orders_index(t).numbered(ix.Scan(reverse=True))
+
+
 def _prices(t):
     """Balances with nulls: customers of nation 3 have none."""
     docs = t("customer").select("c_custkey", F.when(F.col("c_nationkey") != 3, F.col("c_acctbal")).alias("balance"), "c_name")

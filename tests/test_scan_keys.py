@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,8 +7,9 @@ from lodestone.functions import keys
 from lodestone.functions.values import Num, index_range
 from lodestone.operators import index as ix
 from lodestone.operators import scan, stats
+from lodestone.plans import registry
 from lodestone.sources import profiles, repairlog
-from tests.conftest import rows
+from tests.conftest import TESTDATA, rows
 
 
 def test_seeks_and_pages(spark):
@@ -23,6 +26,22 @@ def test_seeks_and_pages(spark):
     assert [r.k for p in scan.walk(df, "k", 3, reverse=True) for r in p] == [*range(90, -1, -10)]
 
 
+def test_every_row_has_its_place(spark):
+    df = spark.range(0, 3000, 1, 7).select((F.col("id") * 7919 % 3000).alias("k")).unionByName(spark.createDataFrame([(None,)], "k long"))
+    for order, want in ((F.asc_nulls_first("k"), [None, *range(3000)]), (F.desc_nulls_last("k"), [*range(2999, -1, -1), None])):
+        got = sorted((r.place, r.k) for r in scan.numbered(df, [order]).collect())
+        assert got == [(i + 1, k) for i, k in enumerate(want)]
+    assert scan.numbered(df.where("k < 0"), [F.asc("k")]).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tables here")
+@pytest.mark.parametrize("name, key", [("reverse_scan_all", lambda r: r._id), ("index_full_scan_reverse_all", lambda r: (r.v1, r.v2, r._id))])
+def test_reverse_scans_give_every_entry(spark, name, key):
+    got = registry.QUERIES[name](spark, TESTDATA).collect()
+    assert len(got) == registry.table(spark, TESTDATA, "orders").count() > 1000
+    assert [r.place for r in got] == [*range(1, len(got) + 1)] and [*map(key, got)] == sorted(map(key, got), reverse=True)
+
+
 def test_counters(spark):
     df, seen = scan.counted(spark.createDataFrame([(1, "ab"), (2, None), (3, "ä")], "_id long, t string"))
     df.collect()
