@@ -7,11 +7,14 @@ pass of sum-product messages give every element's exact marginal; the text that
 directly in elements whose marginal is over one half is the page's main text.
 
 White space inside a block becomes one space, blocks are joined by one space, and character
-references are decoded once. Scripts, styles and comments are no text.
+references are decoded once. Scripts, styles, titles, text areas and comments are no text. Formulas
+are inline text; what stands in other embedded elements (svg, select, object, video, audio, canvas,
+iframe, noscript, template) is judged as in any element.
 
 Defined results: null and empty pages have no text; broken markup is read as browsers do in the common
-cases (open paragraphs end at the next block, an unfinished tag at the end is dropped); a
-page without main text gives an empty string.
+cases (open paragraphs end at the next block, and so do drawings, formulas and selections; an unfinished
+tag at the end is dropped, and so is the rest of the page after a script, style, title or text area
+without its end); a page without main text gives an empty string.
 """
 
 from __future__ import annotations
@@ -30,8 +33,14 @@ from .arrow import annotate
 
 #: Fixed values of HTML: elements without content, with raw content, and those that don't break a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title select object video audio canvas".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title".split())
+#: Formulas are inline text.
+MATH = frozenset("math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = MATH | frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: In these an element may end itself by a slash, and titles and text areas aren't raw.
+FOREIGN = frozenset({"svg", "math"})
+#: A block that starts ends these where they are open, except inside of what holds HTML of its own.
+BROKEN, HOLDS = FOREIGN | {"select"}, frozenset({"foreignobject", "annotation-xml"})
 #: A start tag closes these open elements, up to the given borders.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -90,7 +99,10 @@ class Page:
                 continue
             if name not in INLINE:
                 texts.append((-1, ""))
-            if name in RAW and not m[3].endswith("/"):
+            foreign = (name in RAW or m[3].endswith("/")) and self._foreign(stack, name)
+            if foreign and m[3].endswith("/"):
+                continue
+            if name in RAW and not m[3].endswith("/") and not (foreign and name in ("textarea", "title")):
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(s, at) if name != "p" else None
                 if end is None:
                     return
@@ -101,6 +113,7 @@ class Page:
             if name in CLOSES:
                 self._close(stack, *CLOSES[name])
             elif name in CLOSES_P:
+                self._break_out(stack)
                 self._close(stack, {"p"}, {"table", "article", "section", "div", "main", "body", "button"})
             k = len(tag)
             tag.append(name)
@@ -120,6 +133,28 @@ class Page:
                 del stack[k:]
                 return
 
+    def _foreign(self, stack: list[int], name: str) -> bool:
+        """Whether an element of this name that starts now belongs to a drawing or a formula."""
+        if name in FOREIGN:
+            return True
+        for k in reversed(stack):
+            if self.tag[k] in HOLDS:
+                return False
+            if self.tag[k] in FOREIGN:
+                return True
+        return False
+
+    def _break_out(self, stack: list[int]) -> None:
+        """Ends the outermost open drawing, formula or selection."""
+        cut = 0
+        for k in range(len(stack) - 1, 0, -1):
+            if self.tag[stack[k]] in HOLDS or self.tag[stack[k]] in CLOSES_P:
+                break
+            if self.tag[stack[k]] in BROKEN:
+                cut = k
+        if cut:
+            del stack[cut:]
+
     def _text(self, stack: list[int], text: str) -> None:
         k = stack[-1]
         self.texts.append((k, text))

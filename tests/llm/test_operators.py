@@ -404,6 +404,22 @@ def test_extraction(spark, page_model):
     assert {r.page_id: r.text for r in out.collect()} == {i: t for i, (_, t) in enumerate(PAGES)}
 
 
+EMBEDDED = [
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>", "Let x=1 be"),
+    ("<article><p>Let <math><mi>x</mi><mspace/> be given</p><p>then more</p></article>", "Let x be given then more"),
+    *((f"<article><p>one two three four</p><{t}><p>five six seven eight</p><h2>nine</h2></article>", "one two three four five six seven eight nine") for t in ("svg", "math", "select", "object", "video", "audio", "canvas", "iframe", "noscript", "template")),
+    *((f"<article><p>one two {open}</p><h2>Three</h2><p>four five six</p></article><footer>&copy; me</footer>", "one two Three four five six") for open in ("<svg>", "<svg><g><path d='m'/><title>", "<math>", "<select>", "<object>", "<video>", "<iframe>")),
+    ("<article><p>one</p><svg><foreignObject><p>two</p></foreignObject><circle/></svg><p>three</p></article>", "one two three"),
+    ("<article><p>one</p><script>if (a) { '<p>no</p>' }</script><p>two</p><style>p{}</style><textarea>no</textarea></article>", "one two"),
+    ("<article><p>one two three</p><form><select><option>Choose one</select></form><p>four five six</p></article>", "one two three four five six"),
+]
+
+
+@pytest.mark.parametrize("source, text", EMBEDDED)
+def test_embedded_elements_lose_no_text(page_model, source, text):
+    assert page_model.text(source) == text
+
+
 def test_messages_give_exact_marginals(page_model):
     """Against all labellings of a small tree."""
     import itertools
