@@ -12,7 +12,8 @@ item text; each block is one scan of the documents, and a document's spans and i
 blocks are united. One block is the usual case.
 
 Defined results: null texts have no words; empty items match nothing; equal items and equal
-documents are each reported; null item ids are left out. Words are compared by their 64-bit hashes.
+documents are each reported; items with a null id are left out, or with `unnamed` count for spans and
+hit words and have no name among the items. Words are compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 class Fingerprints:
     """Of test items: kept hashes of long ones, whole sequences of short ones."""
 
-    def __init__(self, ids: list[str], words: list[np.ndarray], span: int, k: int):
+    def __init__(self, ids: list[str | None], words: list[np.ndarray], span: int, k: int):
         self.ids, self.span, self.k, self.window = ids, span, k, span - k + 1
         self.words = words
         found, item, at = [], [], []
@@ -115,9 +116,9 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
+def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int, unnamed: bool):
     """Item ids and texts in blocks of about block_bytes of text; sizes are checked before anything is sent."""
-    items = items.select(items[f"`{item_id}`"].cast("string").alias("id"), items[f"`{text}`"].alias("text")).where("id is not null and text is not null")
+    items = items.select(items[f"`{item_id}`"].cast("string").alias("id"), items[f"`{text}`"].alias("text")).where("text is not null" if unnamed else "id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
@@ -133,11 +134,11 @@ HITS = [
 ]
 
 
-def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, span: int = SPAN, k: int = K, block_bytes: int = 32 << 20, prefix: str = "") -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, span: int = SPAN, k: int = K, block_bytes: int = 32 << 20, prefix: str = "", unnamed: bool = False) -> DataFrame:
     """Names of new columns begin with prefix. docs' columns in keep, n_words, the united spans of hit words (hit_starts, hit_ends; in words) and the ids of the items with occurring windows, sorted."""
     sc = docs.sparkSession.sparkContext
     results = []
-    for table in _blocks(items, item_id, item_text, block_bytes):
+    for table in _blocks(items, item_id, item_text, block_bytes, unnamed):
         words = [w for _, part in WordHasher(ALNUM).texts(table.column("text")) for w in part]
         sent = sc.broadcast(Fingerprints(table.column("id").to_pylist(), words, span, k))
 
@@ -153,7 +154,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
                         counts.append(len(words))
                         starts.append([a for a, _ in spans])
                         ends.append([b for _, b in spans])
-                        found.append(sorted({known.ids[i] for i in items}))
+                        found.append(sorted({x for i in items if (x := known.ids[i]) is not None}))
                 kind = pa.list_(pa.int32())
                 return [pa.array(counts, pa.int64()), pa.array(starts, kind), pa.array(ends, kind), pa.array(found, pa.list_(pa.string()))]
 

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestone.llm import classify, components, decontaminate, fingerprints, htmltext, labelled_pages, linededup, neighbours, packing, setjoin, sharding, sstable, urlfilter
 from lodestone.llm.tokens import Encoder, vocabulary_path
 from lodestone.llm.words import ALNUM, NOT_SPACE, WordHasher
@@ -477,6 +478,17 @@ def test_edited(spark, corpus):
 # --- 10 --------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_items_without_ids_hit(spark, tmp_path, block):
+    item = "one two three four five six seven eight nine ten eleven"
+    items = spark.createDataFrame([(None, item), (None, "short item"), (7, "a short item")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "a short item"), (3, "nothing"), (4, "the short item")], "doc_id long, text string")
+    out = decontaminate.find_hits(docs, items, keep=["doc_id"], block_bytes=block, unnamed=True).select("doc_id", decontaminate.hit_words().alias("n"), "items")
+    assert {r.doc_id: (r.n, r["items"]) for r in out.collect()} == {1: (11, []), 2: (3, ["7"]), 3: (0, []), 4: (2, [])}
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()] == [3]
+
+
 @pytest.mark.parametrize("block", [1 << 20, 200])
 def test_decontamination(spark, block):
     r = random.Random(4)
