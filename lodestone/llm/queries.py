@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classify, decontaminate, fingerprints, htmltext, labelled_pages, linededup, neighbours, packing, setjoin, sharding, sstable, urlfilter
-from .store import materialize
+from .store import materialize, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 shards by version 1 of the slot map; grown_shard by version 2, with 41."""
+    """40 shards by version 1 of the slot map; grown_shard by version 2, with 41. Both are stored, and rows placed by what is read back."""
     first = sharding.SlotMap.initial(40)
-    placed = sharding.place(table(spark, sf_dir, "documents"), first, first.grown())
+    current, larger = sharding.stored(spark, new_path(spark, "slot-map"), first, first.grown())
+    placed = sharding.place(table(spark, sf_dir, "documents"), current, larger)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
 
 

@@ -90,6 +90,13 @@ class SlotMap:
         return spark.range(1).select(rows.alias("r")).select("r.virtual_slot", "r.shard", F.lit(self.shards).alias("shards"))
 
 
+def stored(spark: SparkSession, folder: str, *maps: SlotMap) -> list[SlotMap]:
+    """The maps as they are read back after each was saved as a version of its own."""
+    for m in maps:
+        m.save(spark, folder)
+    return [SlotMap.load(spark, folder, m.version) for m in maps]
+
+
 def even_shares(weights: list[int], shards: int) -> list[int]:
     """Shard of each weight: heaviest first, each to the lightest shard so far."""
     load = [(0, s) for s in range(shards)]

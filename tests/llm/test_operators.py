@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import classify, components, decontaminate, fingerprints, htmltext, labelled_pages, linededup, neighbours, packing, setjoin, sharding, sstable, urlfilter
+from lodestone.llm import classify, components, decontaminate, fingerprints, htmltext, labelled_pages, linededup, neighbours, packing, queries, setjoin, sharding, sstable, urlfilter
 from lodestone.llm.tokens import Encoder, vocabulary_path
 from lodestone.llm.words import ALNUM, NOT_SPACE, WordHasher
 from tests.llm import brute
@@ -197,6 +197,22 @@ def test_slot_maps(spark, tmp_path):
     assert [(r.rows, r.bytes) for r in slots] == [(2, 34)]
 
 
+def test_query_places_by_stored_maps(spark, tmp_path, monkeypatch):
+    """With other owners in the stored maps, rows go where these say."""
+    table(spark, [(i, f"text {i}", None, None, None) for i in range(50)]).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = f"{tmp_path}/maps"
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: folder)
+    plain = queries.op3_sharding(spark, str(tmp_path)).collect()
+    first = sharding.SlotMap.initial(40)
+    assert [sharding.SlotMap.load(spark, folder, v) for v in (1, 2)] == [first, first.grown()]
+    assert {(r.virtual_slot, r.shard, r.grown_shard) for r in plain} == {(r.virtual_slot, first.owner[r.virtual_slot], first.grown().owner[r.virtual_slot]) for r in plain}
+    load = sharding.SlotMap.load
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: f"{folder}2")
+    monkeypatch.setattr(sharding.SlotMap, "load", classmethod(lambda cls, *a: cls(a[2], 41, tuple(40 - x for x in load(*a).owner))))
+    turned = queries.op3_sharding(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, 40 - r.shard, 40 - r.grown_shard) for r in turned} == {(r.doc_id, r.shard, r.grown_shard) for r in plain}
+
+
 # --- 4 ---------------------------------------------------------------------------------------
 
 
