@@ -30,7 +30,7 @@ group size, and no group is expanded into all its pairs. Tokens and sets are tol
 64-bit hashes.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing;
-repeated rows are one class; null ids never become a component's id while another id is there.
+percent is from 1 to 99, anything else is an error; repeated rows are one class; null ids never become a component's id while another id is there.
 """
 
 from __future__ import annotations
@@ -127,10 +127,12 @@ def bitmap(tokens: np.ndarray, per_token: int) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def folded(bits: np.ndarray) -> np.ndarray:
-    """Bitmaps (a row each) of half the width, as if made so: a token's bit is its lowest binary digits."""
-    half = bits.shape[1] // 2
-    return bits[:, :half] | bits[:, half:]
+def folded(bits: np.ndarray, times: int = 1) -> np.ndarray:
+    """Bitmaps (a row each) of half the width `times` over, as if made so: a token's bit is its lowest binary digits."""
+    for _ in range(times):
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
 
 
 class Tree:
@@ -247,10 +249,19 @@ def _by_width(side: dict[int, tuple[int, bytes, int | None]]) -> dict[int, tuple
     return {w: ([x[0] for x in rows], np.array([x[1] for x in rows], np.int64), np.frombuffer(b"".join(x[2] for x in rows), np.uint64).reshape(len(rows), -1)) for w, rows in out.items()}
 
 
+def width_steps(percent: int) -> int:
+    """By how many doublings the widths of two sets that reach percent can differ."""
+    steps = 1
+    while percent << steps < 100:
+        steps += 1
+    return steps
+
+
 def tree_pairs(left: dict, right: dict | None, leaves: Leaves) -> None:
     """Lets leaves meet among left, or between left and right: name -> (size, bitmap, group or None); a group is connected already.
 
-    Sets of one width have a tree, and sets that can reach each other differ by one width at most."""
+    Sets of one width have a tree. Sets that can reach each other differ by one width at most from 50 percent on, and
+    by one more each time that this is halved."""
     for side in (left, right or {}):
         for name, (_, _, group) in side.items():
             if group is not None and group != name:
@@ -262,12 +273,13 @@ def tree_pairs(left: dict, right: dict | None, leaves: Leaves) -> None:
     for w, tree in trees.items():
         if w in others:
             dual_traversal(tree, others[w], leaves)
-        if 2 * w in b:
-            names, sizes, bits = b[2 * w]
-            dual_traversal(tree, Tree(names, sizes, folded(bits)), leaves)
-        if right is not None and w // 2 in b:
-            names, sizes, bits = a[w]
-            dual_traversal(Tree(names, sizes, folded(bits)), others[w // 2], leaves)
+        for step in range(1, width_steps(leaves.percent) + 1):
+            if w << step in b:
+                names, sizes, bits = b[w << step]
+                dual_traversal(tree, Tree(names, sizes, folded(bits, step)), leaves)
+            if right is not None and w >> step in b:
+                names, sizes, bits = a[w]
+                dual_traversal(Tree(names, sizes, folded(bits, step)), others[w >> step], leaves)
 
 
 # --- the join ------------------------------------------------------------------------------
@@ -470,6 +482,8 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 def _joined(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(sets: doc_id, h, n, cls of every row; members: cls, doc_id, h of the row that stands for each class, and root, its component)."""
+    if not 1 <= percent <= 99:
+        raise ValueError(f"percent is from 1 to 99, not {percent}")
     made = _sets(docs, doc_id, text, k, percent, frequent_tokens(docs, text, k))
     stand = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("s")
     classes = made.where("cls is not null").groupBy("cls").agg(stand, *(F.any_value(x).alias(x) for x in ("n", "bits", "first", "hot")))

@@ -277,6 +277,28 @@ def test_components(spark, monkeypatch, at_once):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("percent, low, high", [(40, 64, 160), (40, 100, 250), (25, 64, 256), (20, 60, 300)])
+def test_sets_of_very_different_sizes_link(spark, percent, low, high):
+    words = [f"w{i}" for i in range(high)]
+    docs = [(1, " ".join(words[:low])), (2, " ".join(words)), (3, " ".join(words[: low - 1])), (4, " ".join(f"v{i}" for i in range(high)))]
+    sets = {d: np.unique(np.array([hash(w) & (2**63 - 1) for w in t.split()], np.uint64)) for d, t in docs}
+    for right in (None, 2, 1):
+        left = {d: (len(s), setjoin.bitmap(s, 2), None) for d, s in sets.items()}
+        side = None if right is None else {right: left.pop(right)}
+        leaves = setjoin.Leaves(percent)
+        setjoin.tree_pairs(left, side, leaves)
+        assert leaves.groups.root(1) == leaves.groups.root(2)
+    got = counted(setjoin.join(spark.createDataFrame([d for d in docs if d[0] != 3], "doc_id long, text string"), 1, percent), ["doc_id", "n_shingles", "component_id"])
+    assert got == Counter(brute.jaccard_components([d for d in docs if d[0] != 3], 1, percent))
+    assert got[(2, high, 1)] == 1
+
+
+@pytest.mark.parametrize("percent", [0, 100])
+def test_no_other_thresholds(spark, percent):
+    with pytest.raises(ValueError):
+        setjoin.join(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 1, percent)
+
+
 # --- 5 ---------------------------------------------------------------------------------------
 
 
