@@ -30,6 +30,22 @@ def ready(spark: SparkSession) -> None:
         sc.addPyFile(str(target))
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with an underscore more in front while a column is called so."""
+    taken, out = {x.lower() for x in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def refuse_clash(columns: list[str], new: list[str]) -> None:
+    if clash := {x.lower() for x in columns} & {x.lower() for x in new}:
+        raise ValueError(f"columns {sorted(clash)} are there already; rename them or leave them out of keep")
+
+
 def annotate(df: DataFrame, inputs: list[str], make: Callable, fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """df's columns in keep (all by default) and the new fields.
 
@@ -37,9 +53,7 @@ def annotate(df: DataFrame, inputs: list[str], make: Callable, fields: list[T.St
     the Arrow columns of fields. fields whose names clash with kept columns are refused.
     """
     keep = df.columns if keep is None else keep
-    clash = {x.lower() for x in keep} & {f.name.lower() for f in fields}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already; rename them or leave them out of keep")
+    refuse_clash(keep, [f.name for f in fields])
     wanted = [*keep, *(x for x in inputs if x not in keep)]
     schema = T.StructType([*(df.schema[x] for x in keep), *fields])
     at = [wanted.index(x) for x in inputs]

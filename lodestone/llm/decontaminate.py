@@ -13,7 +13,8 @@ blocks are united. One block is the usual case.
 
 Defined results: null texts have no words; empty items match nothing; equal items and equal
 documents are each reported; items with a null id are left out, or with `unnamed` count for spans and
-hit words and have no name among the items. Words are compared by their 64-bit hashes.
+hit words and have no name among the items; columns of the documents that are called as new ones are refused.
+Words are compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import annotate
+from .arrow import annotate, refuse_clash
+from .store import materialize
 from .words import ALNUM, WordHasher, grams
 
 SPAN, K = 10, 5
@@ -117,13 +119,11 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int, unnamed: bool):
-    """Item ids and texts in blocks of about block_bytes of text; sizes are checked before anything is sent."""
+    """How many, and item ids and texts in blocks of about block_bytes of text; sizes are checked before anything is sent."""
     items = items.select(items[f"`{item_id}`"].cast("string").alias("id"), items[f"`{text}`"].alias("text")).where("text is not null" if unnamed else "id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield part.toArrow()
+    return n, ((items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)).toArrow() for k in range(n))
 
 
 HITS = [
@@ -134,49 +134,67 @@ HITS = [
 ]
 
 
+def _marked(docs: DataFrame, text: str, keep: list[str], prefix: str, known) -> DataFrame:
+    """docs' columns in keep and HITS, by the broadcast fingerprints of one block of items."""
+
+    def make():
+        items, hasher = known.value, WordHasher(ALNUM)
+
+        def work(column):
+            counts, starts, ends, found = [], [], [], []
+            for _, part in hasher.texts(column):
+                for words in part:
+                    spans, hit = items.match(words)
+                    spans = united(spans)
+                    counts.append(len(words))
+                    starts.append([a for a, _ in spans])
+                    ends.append([b for _, b in spans])
+                    found.append(sorted({x for i in hit if (x := items.ids[i]) is not None}))
+            kind = pa.list_(pa.int32())
+            return [pa.array(counts, pa.int64()), pa.array(starts, kind), pa.array(ends, kind), pa.array(found, pa.list_(pa.string()))]
+
+        return work
+
+    return annotate(docs, [text], make, [T.StructField(prefix + f.name, f.dataType) for f in HITS], keep)
+
+
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, span: int = SPAN, k: int = K, block_bytes: int = 32 << 20, prefix: str = "", unnamed: bool = False) -> DataFrame:
-    """Names of new columns begin with prefix. docs' columns in keep, n_words, the united spans of hit words (hit_starts, hit_ends; in words) and the ids of the items with occurring windows, sorted."""
+    """Names of new columns begin with prefix. docs' columns in keep, n_words, the united spans of hit words (hit_starts, hit_ends; in words) and the ids of the items with occurring windows, sorted.
+
+    With several blocks the documents are written once with a number a row; each block then
+    yields the numbers of the rows it hits, and these are put to the rows by their numbers.
+    """
+    keep = docs.columns if keep is None else keep
+    refuse_clash(keep, [prefix + f.name for f in HITS])
+    count, blocks = _blocks(items, item_id, item_text, block_bytes, unnamed)
     sc = docs.sparkSession.sparkContext
-    results = []
-    for table in _blocks(items, item_id, item_text, block_bytes, unnamed):
+
+    def known(table: pa.Table):
         words = [w for _, part in WordHasher(ALNUM).texts(table.column("text")) for w in part]
-        sent = sc.broadcast(Fingerprints(table.column("id").to_pylist(), words, span, k))
-
-        def make(sent=sent):
-            known, hasher = sent.value, WordHasher(ALNUM)
-
-            def work(column):
-                counts, starts, ends, found = [], [], [], []
-                for _, part in hasher.texts(column):
-                    for words in part:
-                        spans, items = known.match(words)
-                        spans = united(spans)
-                        counts.append(len(words))
-                        starts.append([a for a, _ in spans])
-                        ends.append([b for _, b in spans])
-                        found.append(sorted({x for i in items if (x := known.ids[i]) is not None}))
-                kind = pa.list_(pa.int32())
-                return [pa.array(counts, pa.int64()), pa.array(starts, kind), pa.array(ends, kind), pa.array(found, pa.list_(pa.string()))]
-
-            return work
-
-        results.append(annotate(docs, [text], make, [T.StructField(prefix + f.name, f.dataType) for f in HITS], keep))
-    kept = docs.columns if keep is None else keep
-    out = results[0] if len(results) == 1 else _united_blocks(results, kept, prefix)
-    return out
-
-
-def _united_blocks(results: list[DataFrame], keep: list[str], prefix: str) -> DataFrame:
-    """Adds up the hits of several blocks: rows of equal kept columns are numbered within a block, as each block has them all."""
-    from functools import reduce
-
-    from pyspark.sql import Window
-
-    words, starts, ends, items = (prefix + f.name for f in HITS)
-    numbered = [df.withColumn("__row", F.row_number().over(Window.partitionBy(*keep).orderBy(words, starts, ends, items))) for df in results]
-    out = reduce(DataFrame.unionByName, numbered).groupBy(*keep, words, "__row").agg(
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col(starts).alias("a"), F.col(ends).alias("b"))))).alias("__spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items),
+        return sc.broadcast(Fingerprints(table.column("id").to_pylist(), words, span, k))
+
+    if count == 1:
+        return _marked(docs, text, keep, prefix, known(next(blocks)))
+    kept = F.struct(F.lit(0).alias("none"), *(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), docs[f"`{text}`"].alias("text"), kept.alias("kept")), "numbered")
+    found = None
+    for number, table in enumerate(blocks):
+        sent = known(table)
+        part = _marked(rows, "text", ["row"], "", sent)
+        part = materialize(part if number == 0 else part.where(F.size("hit_starts") > 0), "block-hits")  # the first counts words
+        sent.unpersist()
+        found = part if found is None else found.unionByName(part)
+    hits = _united_blocks(found)
+    out = rows.select("row", "kept").join(hits, "row")
+    return out.select(*(F.col(f"kept.c{i}").alias(c) for i, c in enumerate(keep)), *(F.col(f.name).alias(prefix + f.name) for f in HITS))
+
+
+def _united_blocks(found: DataFrame) -> DataFrame:
+    """Of (row, HITS) of several blocks: a row each, with all its spans, united, and all its items."""
+    out = found.groupBy("row").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("hit_starts").alias("a"), F.col("hit_ends").alias("b"))))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     empty = F.array().cast("array<struct<a:int,b:int>>")
 
@@ -185,8 +203,8 @@ def _united_blocks(results: list[DataFrame], keep: list[str], prefix: str) -> Da
         longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
         return F.when((F.size(done) > 0) & (last["b"] >= x["a"]), longer).otherwise(F.concat(done, F.array(x)))
 
-    out = out.withColumn("__spans", F.aggregate("__spans", empty, step))
-    return out.select(*keep, words, F.col("__spans.a").alias(starts), F.col("__spans.b").alias(ends), items)
+    out = out.withColumn("spans", F.aggregate("spans", empty, step))
+    return out.select("row", "n_words", F.col("spans.a").alias("hit_starts"), F.col("spans.b").alias("hit_ends"), "items")
 
 
 def hit_words(prefix: str = "") -> Column:

@@ -7,7 +7,8 @@ Lines whose estimate is within MARGIN standard errors of the threshold get an ex
 count instead. Lines shorter than `min_chars` are left alone: short sentences repeat by chance.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line; a
-null site counts as one site of its own; rows equal in id and text lose the same lines. Lines are
+null site counts as one site of its own; rows equal in id and text lose the same lines; columns called
+__lines or __removed are refused, all others stay as they are. Lines are
 compared as they stand, by two 64-bit hashes.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import free, refuse_clash
 from .store import materialize
 
 MIN_SITES, MIN_CHARS, LG_K, MARGIN = 10, 20, 12, 5.0
@@ -44,16 +46,19 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_s
 
 def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, lg_k: int = LG_K) -> DataFrame:
     """All of docs' columns, text without boilerplate lines, and __lines and __removed, the numbers of lines before and taken away."""
+    refuse_clash(docs.columns, ["__lines", "__removed"])
     found = boilerplate(docs, site, text, min_sites, min_chars, lg_k)
-    key = {"__id": docs[f"`{doc_id}`"], "__hash": F.xxhash64(docs[f"`{text}`"])}
+    key = {"id": docs[f"`{doc_id}`"], "hash": F.xxhash64(docs[f"`{text}`"])}
     hit = _lines(docs, text, key, min_chars).join(found, ["h1", "h2"], "left_semi")
-    gone = materialize(hit.groupBy("__id", "__hash").agg(F.collect_set("pos").alias("__gone")), "gone")
-    keyed = docs.withColumns(key)
-    same = keyed["__id"].eqNullSafe(gone["__id"]) & (keyed["__hash"] == gone["__hash"])
-    out = keyed.join(gone.hint("shuffle_hash"), same, "left").drop(gone["__id"], gone["__hash"]).drop("__id", "__hash")
-    parts = F.split(docs[f"`{text}`"], "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    counted = out.withColumns({"__lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "__removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    counted = counted.withColumn("__lines", F.when(F.col(f"`{text}`").isNull(), F.lit(0).cast("long")).otherwise(F.col("__lines")))
-    counted = counted.withColumn("__removed", F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("__removed")))
-    return counted.withColumn(text, F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(f"`{text}`"))).drop("__gone")
+    own_id, own_hash, gone_id, gone_hash, places = free(docs.columns, "__id", "__hash", "__gone_id", "__gone_hash", "__gone")
+    gone = hit.groupBy("id", "hash").agg(F.collect_set("pos").alias(places)).select(F.col("id").alias(gone_id), F.col("hash").alias(gone_hash), places)
+    gone = materialize(gone, "gone")
+    keyed = docs.withColumns({own_id: key["id"], own_hash: key["hash"]})
+    same = keyed[own_id].eqNullSafe(gone[gone_id]) & (keyed[own_hash] == gone[gone_hash])
+    out = keyed.join(gone.hint("shuffle_hash"), same, "left").drop(own_id, own_hash, gone_id, gone_hash)
+    whole, taken = F.col(f"`{text}`"), F.col(places)
+    parts = F.split(whole, "\n")
+    count = lambda column, there: F.when(there, F.size(column)).otherwise(0).cast("long")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(taken, i)), "\n")
+    out = out.withColumns({"__lines": count(parts, whole.isNotNull()), "__removed": count(taken, taken.isNotNull())})
+    return out.withColumn(text, F.when(taken.isNotNull(), kept).otherwise(whole)).drop(places)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import annotate, lists, ready
+from .arrow import annotate, free, lists, ready
 from .components import components
 from .store import discard, materialize
 from .words import NOT_SPACE, WordHasher, mix, shingles
@@ -561,10 +561,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
     gone = materialize(rows.join(first, same(rows, first), "left_anti").select("doc_id", "h"), "copies")
     twice = materialize(rows.where("rows > 1").join(first, same(rows, first), "left_semi").select("doc_id", "h"), "twice")
-    keyed = docs.withColumns({"__id": docs[f"`{doc_id}`"], "__h": F.xxhash64(docs[f"`{text}`"])})
-    on = lambda b: keyed["__id"].eqNullSafe(b["doc_id"]) & (keyed["__h"] == b["h"])
+    own_id, own_h = free(docs.columns, "__id", "__h")
+    keyed = docs.withColumns({own_id: docs[f"`{doc_id}`"], own_h: F.xxhash64(docs[f"`{text}`"])})
+    on = lambda b: keyed[own_id].eqNullSafe(b["doc_id"]) & (keyed[own_h] == b["h"])
     kept = keyed.join(gone.hint("shuffle_hash"), on(gone), "left_anti")
     if not twice.isEmpty():
-        several = keyed.join(twice, on(twice), "left_semi").dropDuplicates(["__id", "__h"])
+        several = keyed.join(twice, on(twice), "left_semi").dropDuplicates([own_id, own_h])
         kept = kept.join(twice, on(twice), "left_anti").unionByName(several)
-    return kept.drop("__id", "__h")
+    return kept.drop(own_id, own_h)

@@ -121,6 +121,18 @@ def test_line_dedup(spark):
     assert linededup.remove_boilerplate(table(spark, data).limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "this is a line that many sites have"
+    data = [(i, f"own {i}\n{line}", "en", f"s{i}", i) for i in range(11)]
+    odd = table(spark, data).selectExpr("*", "doc_id + 1 AS __id", "doc_id + 2 AS `__hash`", "doc_id + 3 AS __gone", "'a' AS pos", "'b' AS h1", "'c' AS `odd.name`", "doc_id + 4 AS id")
+    out = linededup.remove_boilerplate(odd)
+    assert out.columns == [*odd.columns, "__lines", "__removed"]
+    for r in out.collect():
+        assert (r.text, r["__removed"], r["__id"], r["__hash"], r["__gone"], r.pos, r.h1, r["odd.name"], r.id) == (f"own {r.doc_id}", 1, r.doc_id + 1, r.doc_id + 2, r.doc_id + 3, "a", "b", "c", r.doc_id + 4)
+    with pytest.raises(ValueError):
+        linededup.remove_boilerplate(odd.withColumn("__LINES", F.lit(1)))
+
+
 # --- 2 ---------------------------------------------------------------------------------------
 
 URLS = ["http://www.Example.com/en/1?x=/en/", "https://EXAMPLE.com/en/", "http://a.b.example.com/en", "http://x.net/es/1#a", "http://net/fr/", "http://y.net/de/", "http://z.com", "http://z.com/", "http://notexample.com/en/", None, "", "no scheme", "://", "http://", "ftp://a.com:80/en/", "http://x.net/es", "http://www.example.com.net/fr/q", "http://z.com?u=http://net/es/", "x://a.com/b://c.net/es/", "http://b.com/\nline"]
@@ -246,6 +258,13 @@ def test_keep_one(spark, corpus):
     assert kept.count(3) == 1 and kept.count(1000) == 2  # empty sets are linked with nothing
 
 
+def test_keep_one_keeps_columns_of_any_name(spark):
+    text = " ".join(WORDS)
+    docs = spark.createDataFrame([(1, text, 11, 21, 31), (2, text, 12, 22, 32), (2, text, 13, 23, 33), (3, "other words", 14, 24, 34)], "doc_id long, text string, __id int, __h int, h int")
+    out = setjoin.keep_one(docs)
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {(11, 21, 31), (14, 24, 34)}
+
+
 def test_trees_find_what_pairs_find():
     r = np.random.default_rng(3)
     base = [np.unique(r.integers(0, 2**63, r.integers(1, 400)).astype(np.uint64)) for _ in range(40)]
@@ -551,6 +570,22 @@ def test_decontamination(spark, block):
     assert none.where(F.size("items") > 0).count() == 0 and none.count() == len(docs)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 1])
+def test_rows_keep_their_own_hits_in_any_number_of_blocks(spark, block):
+    """Rows of one id, equal rows, null ids and columns called like the operator's own."""
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    docs = [(1, f"q {a}", 1), (1, f"{b} q r", 2), (1, "clean", 3), (1, "clean", 4), (None, f"{a} {b}", 5), (None, None, 6), (1, f"q {a}", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row int").withColumn("kept", F.lit("x"))
+    items = spark.createDataFrame([("A", a), ("B", b), ("C", "clean")], "item_id string, text string")
+    for keep in (["doc_id"], ["row", "kept", "text"], []):
+        out = decontaminate.find_hits(df, items, keep=keep, block_bytes=block)
+        assert out.columns == [*keep, "n_words", "hit_starts", "hit_ends", "items"]
+        want = Counter([(13, (1,), (13,), ("A",)), (14, (0,), (12,), ("B",)), (1, (0,), (1,), ("C",)), (1, (0,), (1,), ("C",)), (24, (0,), (24,), ("A", "B")), (0, (), (), ()), (13, (1,), (13,), ("A",))])
+        assert Counter((r.n_words, tuple(r.hit_starts), tuple(r.hit_ends), tuple(r["items"])) for r in out.collect()) == want
+    with pytest.raises(ValueError):
+        decontaminate.find_hits(df.withColumn("N_words", F.lit(1)), items, block_bytes=block)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.integers(0, 3), min_size=10, max_size=30))
 def test_no_long_span_is_missed(doc, item):
