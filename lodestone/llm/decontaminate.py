@@ -121,8 +121,8 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int, unnamed: bool):
     """How many, and item ids and texts in blocks of about block_bytes of text; sizes are checked before anything is sent."""
     items = items.select(items[f"`{item_id}`"].cast("string").alias("id"), items[f"`{text}`"].alias("text")).where("text is not null" if unnamed else "id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
+    size = items.agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.count("*").alias("items")).first()
+    n = max(1, min(size["items"], -(-(size["bytes"] or 0) // block_bytes)))
     return n, ((items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)).toArrow() for k in range(n))
 
 
