@@ -436,17 +436,80 @@ def page_model():
     return htmltext.train(labelled_pages.pages())
 
 
-def test_page_model_on_held_out_pages():
-    pages = labelled_pages.pages()
-    model = htmltext.train(pages[:300])
+def right_share(model, pages):
+    """Share of the characters that are put on the right side."""
     right = total = 0
-    for source in pages[300:]:
+    for source in pages:
         page = htmltext.Page(source)
         for y, odds, own in zip(htmltext.labels(page), model.log_odds(page), page.own):
-            if own:
-                total += 1
-                right += (odds > 0) == (y == 1)
-    assert total > 1000 and right / total > 0.98
+            total += own
+            right += own * ((odds > 0) == (y == 1))
+    assert total > 1000
+    return right / total
+
+
+def test_page_model_on_held_out_pages(page_model):
+    assert right_share(page_model, labelled_pages.pages(30, None, 1000)) > 0.97
+
+
+@pytest.mark.parametrize("family", ["semantic", "named", "unknown", "plain", "wrapped", "table", "encyclopedia"])
+def test_page_model_on_a_layout_it_never_saw(family):
+    """Text and links carry the decision, not names. (Pages without any box around the text need to have been seen.)"""
+    model = htmltext.train(labelled_pages.pages(60, [f for f in labelled_pages.FAMILIES if f != family]))
+    assert right_share(model, labelled_pages.pages(60, [family], 1000)) > 0.96
+
+
+ARTICLE = "<h1>Tea time</h1><p>One two three four.</p><p>Five six, seven eight nine. More words follow here.</p>"
+ITS_TEXT = "Tea time One two three four. Five six, seven eight nine. More words follow here."
+MENU = "<ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/a>About</a></li></ul>"
+LAYOUTS = {
+    "fragment": ARTICLE, "bare body": f"<html><body>{ARTICLE}</body></html>", "bare body with furniture": f"<body><nav>{MENU}</nav>{ARTICLE}<footer>&copy; me</footer></body>",
+    "plain div": f"<body><div>{ARTICLE}</div></body>", "unknown name": f"<body><div class='zq9'>{ARTICLE}</div></body>", "unknown names": f"<body><div class='xk'>{MENU}</div><div class='zq9'>{ARTICLE}</div><div class=bb>Copyright 2020 me</div></body>",
+    "wiki": f"<body><div id='content'><div id='bodyContent'>{ARTICLE}</div></div></body>", "wiki alone": f"<body><div id='bodyContent'>{ARTICLE}</div></body>",
+    "table": f"<body><table><tr><td><a href=/>Home</a><br><a href=/n>News</a><br><a href=/a>About</a></td><td>{ARTICLE}</td></tr></table></body>",
+    "svg in svg": ARTICLE.replace("<p>Five", "<svg><svg><text>in</text></svg><text>no</text></svg><p>Five"),
+    **{f"unended {t} in {box}": f"<body><nav>{MENU}</nav><{box}>{ARTICLE.replace('<p>Five', f'<{t}><p>Five')}</{box}><footer>&copy; me</footer></body>" for t in ("svg", "object", "select", "video", "audio", "iframe", "canvas") for box in ("article", "div")},
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(page_model, name):
+    assert page_model.text(LAYOUTS[name]) == ITS_TEXT
+
+
+def test_an_ended_player_after_an_unended_one(page_model):
+    assert page_model.text(f"<article><video>{ARTICLE}<video>no player here</video></article>") == ITS_TEXT
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    for source in ("<b>{}</i>{}", "<div>{}</p>{}", "<li><b>{}<p>{}", "<i>{}</b>{}", "<svg>{}<div>{}"):
+        a, b = source.format(" ", " ").split(" ")[:2]
+        began = time.perf_counter()
+        htmltext.Page(a * 40_000 + b * 40_000)
+        assert time.perf_counter() - began < 6
+
+
+def test_text_by_all_labellings(page_model):
+    """The whole extraction of small pages, with marginals summed over all labellings."""
+    import html as h
+    import itertools
+    import math
+    import re
+
+    for source in ("<div class=ad>x y</div><p>one &amp; two</p>", "<nav><a>home</a></nav><article>a<b>b</b> <p>c &lt; d</article>", "<div><p>One, two.</p><select><option>x</select></div>t"):
+        page = htmltext.Page(source)
+        own = [sum(page_model.weights.get(f, 0.0) for f in htmltext.features(s)) for s in htmltext.signatures(page)]
+        main = [0.0] * len(own)
+        for ys in itertools.product((0, 1), repeat=len(own)):
+            p = math.exp(sum(w for w, y in zip(own, ys) if y)) * math.prod(page_model.edges.get(t, page_model.edges["*"])[2 * ys[up] + y] for t, up, y in [*zip(page.tag, page.parent, ys)][1:])
+            main = [m + (p if y else -p) for m, y in zip(main, ys)]
+        blocks = [""]
+        for k, text in page.texts:
+            blocks = [*blocks, ""] if k < 0 else [*blocks[:-1], blocks[-1] + text * (main[k] > 0)]
+        want = " ".join(x for b in blocks for x in re.split(r"\s+", h.unescape(b)) if x)
+        assert page_model.text(source) == want
 
 
 PAGES = [
