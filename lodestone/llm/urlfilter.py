@@ -1,26 +1,31 @@
 """URL filters by a Bloom filter cascade.
 
-Every rule that a URL of the corpus could meet, its host and each parent domain with each
-prefix of its path that has the length of some rule's path, is a key; the distinct keys are
+Every rule that a URL of the corpus could meet, its host or a parent domain with as many labels as some
+rule's host, with a prefix of its path that has the length of some rule's path, is a key; all keys are
 the universe. Level 1 is a Bloom filter of the listed keys; level 2 holds the keys of the
 universe that level 1 takes wrongly, level 3 the listed keys that level 2 takes, and so on,
 until a level takes nothing wrongly. Asking the levels in turn until one says no is then
 exact for every key of the universe, with no join.
 
+Rates follow from counts: level 1 may take about a quarter as many other keys as there are listed ones,
+however large the universe is, and level 2 nearly none of the listed. So the filters have at most
+some 60 bits a rule, less than the rules themselves, which the caller holds; level 2 is made on the driver, from
+about a quarter as many keys as there are rules. The corpus is read twice: its keys are counted,
+and those that level 1 takes wrongly are found; neither shuffles its keys.
+
 One cascade tells listed keys from others, a second one allow rules from block rules among the
 listed. Keys are compared by 128 bits of xxhash.
 
-Levels are built by partial bitmaps a task, OR-ed in the aggregation. Their size is counted
-before it is sent: beyond `most_bytes` the listed keys are looked up by a shuffled join instead.
-
 Defined results: a null URL, or one without ://, has empty host and path and meets no rule; what no
 rule fits is allowed (the list is one of rules; the cascade says "not listed"); a rule without a
-host or with a null is refused; repeated rules count once, of a rule that both allows and blocks the block holds.
+host or with a null is refused; repeated rules count once, of a rule that both allows and blocks the block holds;
+without rules all is allowed. Work on a URL grows with its length and the rules' different shapes, not with its number of labels.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import annotate, ready
-from .store import materialize
+from .arrow import annotate
 from .words import mix
 
 #: Fixed values of the contract: (host, path prefix, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_BYTES, MOST_LEVELS, MOST_RULES = 64 << 20, 40, 100_000
 
 
 def host_and_path(url: Column) -> list[Column]:
@@ -46,10 +49,11 @@ def host_and_path(url: Column) -> list[Column]:
     return [host, path]
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Array of (rule host, rule path), the longest first: of equal totals the longer host first."""
-    labels = F.split(host, r"\.")
-    hosts = F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Array of (rule host, rule path), the longest first: of equal totals the longer host first. labels and lengths: those that rules have."""
+    split = F.split(host, r"\.")
+    wide = F.when(host == "", F.lit(0)).otherwise(F.size(split))
+    hosts = F.transform(F.filter(F.array(*(F.lit(n) for n in labels)), lambda n: n <= wide), lambda n: F.array_join(F.slice(split, wide - n + 1, n), "."))
     sizes = F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length(path))
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(sizes, lambda n: F.struct((F.length(h) + n).alias("total"), F.length(h).alias("hosted"), h.alias("host"), F.substring(path, F.lit(1), n).alias("path")))))
     return F.reverse(F.array_sort(pairs))
@@ -62,7 +66,7 @@ def key_hashes(host: Column, path: Column) -> list[Column]:
 def _spots(h1: np.ndarray, h2: np.ndarray, level: int, hashes: int, bits: int) -> list[np.ndarray]:
     a = mix(h1.view(np.uint64) ^ np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1)))
     b = mix(h2.view(np.uint64) + np.uint64(level)) | np.uint64(1)
-    return [(a + np.uint64(i) * b) % np.uint64(bits) for i in range(hashes)]
+    return [mix(a + np.uint64(i) * b) % np.uint64(bits) for i in range(hashes)]  # few bits need spots that depend on nothing else
 
 
 @dataclass
@@ -96,62 +100,56 @@ class Cascade:
         return sum(len(x.table) for x in self.levels)
 
 
-def _survivors(keys: DataFrame, level: Level, number: int) -> DataFrame:
-    sent = keys.sparkSession.sparkContext.broadcast((level.bits, level.hashes, level.table))
-
-    def make():
-        own = Level(*sent.value)
-        return lambda a, b: [pa.array(own.has(a.to_numpy(), b.to_numpy(), number))]
+Keys = tuple[np.ndarray, np.ndarray]
 
-    return annotate(keys, ["h1", "h2"], make, [T.StructField("in", T.BooleanType())]).where("in").drop("in")
 
-
-def _level(keys: DataFrame, n: int, number: int, rate: float) -> Level:
-    """A Bloom filter of n keys: a bitmap a task, OR-ed word by word in the aggregation."""
-    bits = max(64, math.ceil(-max(n, 1) * math.log(rate) / math.log(2) ** 2))
+def level(keys: Keys, number: int, rate: float) -> Level:
+    """A Bloom filter of these keys that takes about this share of others."""
+    n = max(1, len(keys[0]))
+    bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
     bits += -bits % 64
-    hashes = max(1, round(bits / max(n, 1) * math.log(2)))
-    hashes = min(hashes, 16)
-
-    def build(batches):
-        table = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for x in _spots(batch.column(0).to_numpy(), batch.column(1).to_numpy(), number, hashes, bits):
-                np.bitwise_or.at(table, (x >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (x & np.uint64(7)).astype(np.uint8)))
-        padded = np.concatenate([table, np.zeros(-len(table) % 8, np.uint8)]).view(np.int64)
-        used = np.flatnonzero(padded)
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(padded[used], pa.int64())], names=["at", "bits"])
-
-    ready(keys.sparkSession)
-    words = keys.select("h1", "h2").mapInArrow(build, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros((bits // 8 + 7) // 8, np.int64)
-    table[words["at"].to_numpy()] = words["bits"].to_numpy()
-    return Level(bits, hashes, table.view(np.uint8)[: bits // 8].copy())
-
-
-def build_cascade(listed: DataFrame, others: DataFrame, rate: float = 0.5, first_rate: float = 0.01, most_bytes: int = MOST_BYTES) -> Cascade | None:
-    """listed and others: distinct disjoint (h1, h2), together the universe. None if levels would take over most_bytes."""
-    levels: list[Level] = []
-    sides = [materialize(listed, "listed"), others]
-    total = 0
-    for number in range(MOST_LEVELS):
-        inside, outside = sides[number % 2], sides[1 - number % 2]
-        n = inside.count()
-        if number and not n:
-            break
-        p = first_rate if number == 0 else rate
-        total += math.ceil(-max(n, 1) * math.log(p) / math.log(2) ** 2 / 8)
-        if total > most_bytes:
-            return None
-        level = _level(inside, n, number, p)
-        levels.append(level)
-        sides[1 - number % 2] = materialize(_survivors(outside, level, number), f"level-{number}")
-    else:
-        raise RuntimeError("the cascade does not end")
+    hashes = min(64, max(1, round(bits / n * math.log(2))))
+    table = np.zeros(bits // 8, np.uint8)
+    for x in _spots(*keys, number, hashes, bits):
+        np.bitwise_or.at(table, (x >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (x & np.uint64(7)).astype(np.uint8)))
+    return Level(bits, hashes, table)
+
+
+def build_cascade(listed: Keys, others: int, taken: Callable[[Level], Keys]) -> Cascade:
+    """listed: distinct keys. others: how many more keys the universe has at most. taken(level): those of them that level 1 takes, distinct."""
+    n = max(1, len(listed[0]))
+    first = level(listed, 0, min(0.5, n / (4 * max(1, others))))
+    levels, sides = [first], [listed, taken(first)]
+    while len(sides[len(levels) % 2][0]):
+        k = len(levels)
+        outside = sides[1 - k % 2]
+        made = level(sides[k % 2], k, 1 / (64 * max(1, len(outside[0]))))
+        wrong = made.has(*outside, k)
+        sides[1 - k % 2] = (outside[0][wrong], outside[1][wrong])
+        levels.append(made)
     return Cascade(levels)
 
 
+def _taken(keys: DataFrame, listed: Keys) -> Callable[[Level], Keys]:
+    """Finds the keys (h1, h2) of the corpus that a level takes, but for the listed ones: a filter in each task, then few rows."""
+
+    def find(first: Level) -> Keys:
+        sent = keys.sparkSession.sparkContext.broadcast((first.bits, first.hashes, first.table))
+
+        def make():
+            own = Level(*sent.value)
+            return lambda a, b: [pa.array(own.has(a.to_numpy(), b.to_numpy(), 0))]
+
+        found = annotate(keys, ["h1", "h2"], make, [T.StructField("in", T.BooleanType())]).where("in").select("h1", "h2").distinct().toArrow()
+        sent.unpersist()
+        h1, h2 = (found[x].to_numpy().astype(np.int64) for x in ("h1", "h2"))
+        known = set(zip(*(x.tolist() for x in listed)))
+        other = np.fromiter((x not in known for x in zip(h1.tolist(), h2.tolist())), bool, len(h1))
+        return h1[other], h2[other]
+
+    return find
+
+
 def _rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     merged: dict[tuple[str, str], str] = {}
     for host, path, verdict in rules:
@@ -163,22 +161,31 @@ def _rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> Data
     return spark.createDataFrame(rows, "host string, path string, verdict string")
 
 
-def judge(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row. most_bytes: of filters to be sent."""
+def judge(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict of every row."""
     spark = urls.sparkSession
     table = _rules_table(spark, rules)
     lengths = sorted({len(path) for _, path, _ in rules})
+    labels = sorted({host.count(".") + 1 for host, _, _ in rules})
     host, path = host_and_path(urls[f"`{url}`"])
     rows = urls.select(urls[f"`{page_id}`"].alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
-    hashed = table.select(*(h.alias(n) for n, h in zip(("h1", "h2"), key_hashes(F.col("host"), F.col("path")))), "verdict")
-    keys = rows.select(F.explode("keys").alias("k")).select(*(h.alias(n) for n, h in zip(("h1", "h2"), key_hashes(F.col("k.host"), F.col("k.path"))))).distinct()
-    others = materialize(keys.join(F.broadcast(hashed) if len(rules) <= MOST_RULES else hashed, ["h1", "h2"], "left_anti"), "others")
-    first = build_cascade(hashed.select("h1", "h2"), others, most_bytes=most_bytes)
-    second = build_cascade(hashed.where("verdict = 'block'").select("h1", "h2"), hashed.where("verdict = 'allow'").select("h1", "h2"), most_bytes=most_bytes)
+    if not rules:
+        return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    rows = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), labels, lengths))
+    hashed = table.select(*(h.alias(n) for n, h in zip(("h1", "h2"), key_hashes(F.col("host"), F.col("path")))), "verdict").toArrow()
+    every: Keys = (hashed["h1"].to_numpy(), hashed["h2"].to_numpy())
+    blocks = np.array(hashed["verdict"].to_pylist()) == "block"
+    side = lambda mask: (every[0][mask], every[1][mask])
+    keys = rows.select(F.explode("keys").alias("k")).select(*(h.alias(n) for n, h in zip(("h1", "h2"), key_hashes(F.col("k.host"), F.col("k.path")))))
+    universe = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
+
+    def allowed(first: Level) -> Keys:
+        wrong = first.has(*side(~blocks), 0)
+        return tuple(x[wrong] for x in side(~blocks))
+
+    first = build_cascade(every, universe, _taken(keys, every))
+    second = build_cascade(side(blocks), int((~blocks).sum()), allowed)
     rows = rows.withColumn("hashes", F.transform("keys", lambda k: F.struct(*(h.alias(n) for n, h in zip(("h1", "h2"), key_hashes(k["host"], k["path"]))))))
-    if first is None or second is None:
-        return _judge_by_join(rows, hashed)
     sent = spark.sparkContext.broadcast([[(x.bits, x.hashes, x.table) for x in c.levels] for c in (first, second)])
 
     def make():
@@ -205,11 +212,3 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id: s
     best = F.element_at("keys", F.col("place") + 1)
     rule = F.when(F.col("place") >= 0, F.concat(best["host"], best["path"]))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.when(F.col("block"), "block").otherwise("allow").alias("verdict"))
-
-
-def _judge_by_join(rows: DataFrame, hashed: DataFrame) -> DataFrame:
-    """For lists too large to send: the distinct hosts and paths are joined with the rules."""
-    pages = rows.select("host", "path", "keys", "hashes").dropDuplicates(["host", "path"])
-    flat = pages.select("host", "path", "keys", F.posexplode("hashes").alias("place", "h")).select("host", "path", "place", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), F.try_element_at("keys", F.col("place") + 1).alias("key"))
-    best = flat.join(hashed, ["h1", "h2"]).groupBy("host", "path").agg(F.min_by(F.struct(F.concat("key.host", "key.path").alias("rule"), "verdict"), "place").alias("b"))
-    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
