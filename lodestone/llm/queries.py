@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +27,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 shards by version 1 of the slot map; grown_shard by version 2, with 41. Both are stored, and rows placed by what is read back."""
+    """40 shards by version 1 of the slot map; grown_shard by version 2, with 41. Bytes are summed a slot, and version 3 is version 1 rebalanced by them, which the law `key` can't follow. All are stored; rows are placed by what is read back."""
+    docs, folder = table(spark, sf_dir, "documents"), new_path(spark, "slot-map")
+    summed = sharding.stored_bytes(docs, folder)
     first = sharding.SlotMap.initial(40)
-    current, larger = sharding.stored(spark, new_path(spark, "slot-map"), first, first.grown())
-    placed = sharding.place(table(spark, sf_dir, "documents"), current, larger)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
+    balanced = replace(first.rebalanced(sharding.weights(summed)), version=3)
+    current, larger, _ = sharding.stored(spark, folder, first, first.grown(), balanced)
+    placed = sharding.place(docs, current, larger, summed=summed)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "virtual_slot_bytes")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +107,7 @@ c AS (SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda
 s AS (SELECT d.r, doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size, text_crc32, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 8192 AS INTEGER) AS virtual_slot FROM d JOIN c USING (r)),
 v AS (SELECT *, CAST(virtual_slot % 40 AS INTEGER) AS shard FROM s)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id, text_crc32, size) - 1 AS slot,
-CASE WHEN (virtual_slot // 40 + 1 + shard) % 41 = 0 THEN 40 ELSE shard END AS grown_shard, virtual_slot FROM v"""
+CASE WHEN (virtual_slot // 40 + 1 + shard) % 41 = 0 THEN 40 ELSE shard END AS grown_shard, virtual_slot, CAST(sum(size) OVER (PARTITION BY virtual_slot) AS BIGINT) AS virtual_slot_bytes FROM v"""
 SQL["op4_ngram_jaccard"] = rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_A}', '{_B}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 g AS (SELECT DISTINCT r, array_to_string(w[p : p + 3], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM d WHERE len(w) > 0)),

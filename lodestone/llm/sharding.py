@@ -10,13 +10,14 @@ rebalancing edits the map, so that only the rows of the moved slots move:
 
 Only slots (thousands, whatever the corpus) reach the driver.
 
-Defined results: null keys count as empty text, null texts as no bytes; repeated rows are
+Sums of slots are stored beside the maps, and places are numbered from them.
+
+Defined results: null keys count as empty text and so share one slot, null texts as no bytes; repeated rows are
 kept each and get places of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 from dataclasses import dataclass
 
@@ -97,17 +98,6 @@ def stored(spark: SparkSession, folder: str, *maps: SlotMap) -> list[SlotMap]:
     return [SlotMap.load(spark, folder, m.version) for m in maps]
 
 
-def even_shares(weights: list[int], shards: int) -> list[int]:
-    """Shard of each weight: heaviest first, each to the lightest shard so far."""
-    load = [(0, s) for s in range(shards)]
-    out = [0] * len(weights)
-    for i in sorted(range(len(weights)), key=lambda i: (-weights[i], i)):
-        w, s = heapq.heappop(load)
-        out[i] = s
-        heapq.heappush(load, (w + weights[i], s))
-    return out
-
-
 def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
     """From the first 32 bits of the md5 of the key as text."""
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
@@ -118,13 +108,24 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def stored_bytes(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """slot_bytes, written beside the maps and read back."""
+    slot_bytes(docs, key, text, slots).coalesce(1).write.parquet(f"{folder}/bytes")
+    return docs.sparkSession.read.parquet(f"{folder}/bytes")
+
+
+def weights(summed: DataFrame) -> dict[int, int]:
+    """Bytes of each slot, for SlotMap.rebalanced: a number a slot reaches the driver."""
+    return {r.virtual_slot: r.bytes for r in summed.collect()}
+
+
 def slot_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """virtual_slot, rows, bytes: at most `slots` rows, summed before they are shuffled."""
     return docs.groupBy(virtual_slot(docs[f"`{key}`"], slots).alias("virtual_slot")).agg(F.count("*").alias("rows"), F.sum(size_of(docs[f"`{text}`"])).alias("bytes"))
 
 
-def place(docs: DataFrame, current: SlotMap, larger: SlotMap, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot (place in the shard, from 0 without gaps), grown_shard, virtual_slot.
+def place(docs: DataFrame, current: SlotMap, larger: SlotMap, key: str = "doc_id", text: str = "text", summed: DataFrame | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot (place in the shard, from 0 without gaps), grown_shard, virtual_slot, virtual_slot_bytes. summed: slot_bytes of docs, if they are there already.
 
     Places follow (virtual slot, key, crc32, size). Rows equal in all of these are counted
     before the shuffle and spread out again after it; running sums are taken within a virtual
@@ -140,10 +141,10 @@ def place(docs: DataFrame, current: SlotMap, larger: SlotMap, key: str = "doc_id
     distinct = rows.groupBy("virtual_slot", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     a, b = current.table(spark), larger.table(spark)
     owners = a.join(F.broadcast(b.select("virtual_slot", F.col("shard").alias("grown_shard"))), "virtual_slot").drop("shards")
-    counts = docs.groupBy(virtual_slot(docs[f"`{key}`"], slots).alias("virtual_slot")).agg(F.count("*").alias("rows"))
+    counts = slot_bytes(docs, key, text, slots) if summed is None else summed  # a row a slot
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     bases = owners.join(F.broadcast(counts), "virtual_slot").withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     inner = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = distinct.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(F.broadcast(bases.select("virtual_slot", "shard", "grown_shard", "base")), "virtual_slot")
+    placed = distinct.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(F.broadcast(bases.select("virtual_slot", "shard", "grown_shard", "base", F.col("bytes").alias("virtual_slot_bytes"))), "virtual_slot")
     first = F.col("base") + F.col("inner")
-    return placed.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"), "grown_shard", "virtual_slot")
+    return placed.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"), "grown_shard", "virtual_slot", "virtual_slot_bytes")
