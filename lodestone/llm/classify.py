@@ -5,26 +5,32 @@ first and last sign, capitals, whether the word repeats the one before), each ha
 2^BITS weights. A feature's value is its share of the text's words, so that a score is a
 sparse dot product: the weights of all n-grams, summed, over the number of words.
 
-Training takes a bounded sample: the `most` labelled rows that come first by a hash of
-their id. Scoring covers every row. Nothing but the text enters a score.
+Training takes a bounded sample: of the labelled texts the `most` that come first by a hash of their id, label
+and text. Their features are made by the executors and written; the updates go over them text by text, in an
+order that id, label and text decide, and the driver holds about PART_BYTES of them at once, or one text's if that is more. So
+weights are the same in each run. Scoring covers every row. Nothing but the text enters a score.
 
 Defined results: null and empty texts score by the bias alone; rows without a label or with
 another label than 0 or 1 aren't learned; with no labelled rows all weights are 0 and the
-score is 0.5; repeated label rows count each.
+score is 0.5; repeated label rows and repeated documents count once, an id's different texts or labels each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import annotate, lists
+from .arrow import annotate
+from .store import discard, materialize
 from .words import NOT_SPACE, WordHasher, grams, mix
 
-BITS, SCALE, MOST = 18, 8.0, 4000
+BITS, SCALE, MOST, EPOCHS = 18, 8.0, 4000, 4
+PART_BYTES = 8 << 20
 
 
 class Features(WordHasher):
@@ -79,13 +85,12 @@ class Features(WordHasher):
         return (np.concatenate(runs) >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weights, bias) by follow-the-regularised-leader over (label, feature numbers, values)."""
+def train(examples: Callable[[int], Iterable[tuple[int, np.ndarray, np.ndarray]]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(weights, bias) by follow-the-regularised-leader. examples(epoch): (label, distinct feature numbers, values) one by one."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bz = bn = 0.0
     for epoch in range(epochs):
-        for i in np.random.default_rng(epoch).permutation(len(rows)):
-            y, at, x = rows[i]
+        for y, at, x in examples(epoch):
             zi, ni = z[at], n[at]
             w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
             bias = -bz / ((beta + np.sqrt(bn)) / alpha)
@@ -105,11 +110,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> tuple[np.ndarray, float]:
-    """Learns from at most `most` labelled rows that aren't held out."""
+    """Learns from at most `most` labelled texts that aren't held out."""
     known = labels.select(labels[f"`{doc_id}`"].alias("id"), labels[f"`{label}`"].cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
-    known = known.orderBy(F.xxhash64("id"), "id", "y").limit(most)
-    texts = docs.select(docs[f"`{doc_id}`"].alias("id"), docs[f"`{text}`"].alias("t"))
-    pairs = texts.join(F.broadcast(known), "id").select("id", "y", "t")
+    known = known.distinct().orderBy(F.xxhash64("id"), "id", "y").limit(most)
+    texts = docs.select(docs[f"`{doc_id}`"].alias("id"), docs[f"`{text}`"].alias("t")).withColumn("h", F.xxhash64("t"))
+    pairs = texts.join(F.broadcast(known), "id").groupBy("id", "y", "h").agg(F.min("t").alias("t"))
 
     def make():
         features = Features()
@@ -118,16 +123,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
             at, share = [], []
             for words in features.texts(column):
                 found, times = np.unique(features.index(words), return_counts=True)
-                at.append(found)
-                share.append(times * (SCALE / max(1, words.shape[1])))
-            return [lists(at, pa.int32()), lists(share, pa.float32())]
+                at.append(found.astype("<i4").tobytes())
+                share.append((times * (SCALE / max(1, words.shape[1]))).astype("<f4").tobytes())
+            return [pa.array(at, pa.binary()), pa.array(share, pa.binary())]
 
         return work
 
-    fields = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))]
-    table = annotate(pairs, ["t"], make, fields, ["id", "y"]).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    rows = [(y.as_py(), np.asarray(a.values), np.asarray(x.values, dtype=np.float64)) for y, a, x in zip(table["y"], table["at"], table["x"])]
-    return train(rows)
+    fields = [T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())]
+    table = materialize(annotate(pairs, ["t"], make, fields, ["id", "y", "h"]), "examples")
+    order = lambda *more: [F.xxhash64("id", "y", "h", *more), "id", "y", "h"]
+    size = table.agg(F.count("*").alias("n"), F.sum(F.octet_length("at") + F.octet_length("x")).alias("bytes")).first()
+    if size["n"] > most:  # ids with several texts
+        table = materialize(table.join(F.broadcast(table.select("id", "y", "h").orderBy(*order()).limit(most)), ["id", "y", "h"], "left_semi"), "examples")
+    parts = max(1, -(-(size["bytes"] or 0) // PART_BYTES))
+
+    def examples(epoch: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        rows = table.withColumn("o", order(F.lit(epoch))[0]).repartitionByRange(parts, "o").sortWithinPartitions("o", "id", "y", "h")
+        for r in rows.select("y", "at", "x").toLocalIterator(prefetchPartitions=True):
+            yield r.y, np.frombuffer(r.at, "<i4"), np.frombuffer(r.x, "<f4").astype(np.float64)
+
+    made = train(examples)
+    discard(table)
+    return made
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:

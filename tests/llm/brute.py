@@ -117,3 +117,40 @@ def edited(rows):
         e = t[: len(t) - k] + after[:k]
         out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), float(canonical(e) == canonical(t)), float(canonical(t) == canonical(after))))
     return out
+
+
+def ftrl(examples, epochs, alpha, beta, l1, l2):
+    """(weights by number, bias): each example is (label, {number: value}); the updates as published, a weight at a time."""
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for epoch in range(epochs):
+        for y, x in examples(epoch):
+            w = {i: weight(i) for i in x}
+            bias = -bz / ((beta + bn**0.5) / alpha)
+            g = 1 / (1 + np.exp(-(sum(w[i] * v for i, v in x.items()) + bias))) - y
+            for i, v in x.items():
+                old = n.get(i, 0.0)
+                n[i] = old + (g * v) ** 2
+                z[i] = z.get(i, 0.0) + g * v - (n[i] ** 0.5 - old**0.5) / alpha * w[i]
+            bz += g - ((bn + g * g) ** 0.5 - bn**0.5) / alpha * bias
+            bn += g * g
+    return {i: weight(i) for i in z}, -bz / ((beta + bn**0.5) / alpha)
+
+
+def quality_features(text):
+    """The n-grams of words and of word shapes, repeats included."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    kind = lambda b: 2 if 48 <= b < 58 else 3 if 65 <= b < 91 else 1 if 97 <= b < 123 or b >= 128 else b if 33 <= b < 127 else 0
+    shapes, last = [], None
+    for w in words:
+        b = w.encode()
+        shapes.append((kind(b[0]), kind(b[-1]), kind(b[max(len(b) - 2, 0)]), sum(65 <= x < 91 for x in b) > 1, lower(w) == last))
+        last = lower(w)
+    runs = lambda xs, k: [tuple(xs[i : i + k]) for i in range(len(xs) - k + 1)]
+    plain = [lower(w) for w in words]
+    return [("word", *x) for k in (1, 2) for x in runs(plain, k)] + [("shape", *x) for k in (1, 2, 3) for x in runs(shapes, k)]
