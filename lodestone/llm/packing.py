@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import ready
+from .arrow import lists, ready
 from .store import materialize
 from .tokens import END_ID, Encoder, vocabulary_path
 
@@ -44,7 +44,6 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", longest: i
         raise ValueError("longest must be a power of two")
     ready(docs.sparkSession)
     path = path or vocabulary_path()
-    end = end_id.to_bytes(4, "little")
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "task", "place"))])
     if ids:
@@ -60,23 +59,20 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", longest: i
                 nonlocal out, at, held
                 arrays = [pa.array(x, pa.int64()) for x in out[1:7]]
                 if ids:
-                    flat = pa.Array.from_buffers(pa.int32(), sum(map(len, out[7])) // 4, [None, pa.py_buffer(b"".join(out[7]))])
-                    offsets = [0]
-                    for x in out[7]:
-                        offsets.append(offsets[-1] + len(x) // 4)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat))
+                    arrays.append(lists(out[7], pa.int32()))
                 made = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], names=schema.names)
                 out, at, held = [[] for _ in schema], [], 0
                 return made
 
-            for row, one in enumerate(batch.column(1)):
-                coded = encoder.encode(one.as_py()) + end
-                n, start = len(coded) // 4, 0
+            coded, starts = encoder.encode_all(batch.column(1), end_id)
+            bounds = starts.tolist()
+            for row, (first, last) in enumerate(zip(bounds, bounds[1:])):
+                n, start = last - first, 0
                 for length in binary_lengths(n, longest):
-                    piece = coded[4 * start : 4 * (start + length)]
+                    piece = coded[first + start : first + start + length]
                     places[length] = place = places.get(length, -1) + 1
                     at.append(row)
-                    for column, x in zip(out[1:], (start, length, zlib.crc32(piece), n, task, place, piece)):
+                    for column, x in zip(out[1:], (start, length, zlib.crc32(piece), n, task, place, piece if ids else None)):
                         column.append(x)
                     start += length
                     held += length

@@ -1,8 +1,9 @@
 """Token ids of public tokenizers, word by word.
 
 The tokenizer drops white space and never joins across it, so the ids of a text are those
-of its words in order. Words are kept with their ids in a bounded memory: most words of a
-corpus repeat. Words of plain Latin letters, digits and signs are cut here by the
+of its words in order. Arrow cuts a batch of texts into words and numbers the different ones
+(exactly, by a hash table); only these are looked up, and numpy puts the ids of all texts together.
+Words are kept with their ids in a bounded memory: most words of a corpus repeat. Words of plain Latin letters, digits and signs are cut here by the
 tokenizer's own pattern and given to the library's BPE model; all others go through the
 library's whole encode().
 """
@@ -11,10 +12,18 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
 #: Longer words are seldom met again.
 KEPT_LENGTH = 14
+#: Bytes of text that are cut into words at once.
+PIECE = 2 << 20
+_GAP = re.compile("[ \t\n\r\x0b\x0c]")
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _CUT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
@@ -63,7 +72,7 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         head = word[:-1]
         if word.isascii() and word.isalpha():
-            out = self._part(word.lower())
+            out = array("I", [x.id for x in self._bpe(word.lower())]).tobytes()
         elif word[-1] in ".," and head.isascii() and head.isalpha():
             out = self._part(head.lower()) + self._part(word[-1])
         elif _PLAIN.fullmatch(word):
@@ -78,4 +87,51 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) if text else b""
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_all(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a string column, one after another, as unsigned 32-bit integers; where each text starts among them, and the end). Null is an empty text; end_id follows each."""
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        upto = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+        ids, sizes, i = [], [], 0
+        while i < len(column):
+            before = int(upto[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(upto, before + PIECE, side="right")))
+            if upto[j - 1] - before > 2 * PIECE:  # a long text, by pieces that end where a word does
+                parts = [self._encode(pa.array([x], pa.large_string()), None)[0] for x in _pieces(column[i].as_py())]
+                found = np.concatenate([*parts, np.array([] if end_id is None else [end_id], np.uint32)])
+                count = np.array([len(found)])
+            else:
+                found, count = self._encode(column.slice(i, j - i), end_id)
+            ids.append(found)
+            sizes.append(count)
+            i = j
+        return np.concatenate([*ids, np.empty(0, np.uint32)]), np.concatenate(([0], np.cumsum(np.concatenate([*sizes, np.empty(0, np.int64)])))).astype(np.int64)
+
+    def _encode(self, column: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each text)."""
+        words = pc.ascii_split_whitespace(column)
+        numbered = words.flatten().dictionary_encode()
+        own = [self[w] for w in numbered.dictionary.to_pylist()]
+        at = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        if end_id is not None:  # one more word at the end of each text
+            at = np.insert(at, np.cumsum(lengths), len(own))
+            own.append(int(end_id).to_bytes(4, "little"))
+            lengths = lengths + 1
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        table, first = np.frombuffer(bytearray(b"".join(own)), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = table[np.repeat(first[at] - (ends - each), each) + np.arange(total)] if total else np.empty(0, np.uint32)
+        return ids, np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))])
+
+
+def _pieces(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        end = _GAP.search(text, at + PIECE)
+        end = end.end() if end else len(text)
+        yield text[at:end]
+        at = end
