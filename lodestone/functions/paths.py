@@ -86,13 +86,22 @@ def values_of(df: DataFrame, path: str, sparse: bool = False) -> tuple[Column, T
 
 
 def expand(df: DataFrame, id_col: str, paths: list[str], sparse: bool = False, most: int = MOST_ENTRIES) -> DataFrame:
-    """Index entries v1..vk, _id of each document: the product of the values of its fields; over `most` is an error."""
-    arrays = [values_of(df, p, sparse)[0] for p in paths]
+    """Index entries v1..vk, _id of each document: the product of the values of its fields; over `most` is an error.
+
+    Fields that hold one value are columns as they are, so that predicates on them reach the scan; only arrays are exploded."""
+    found = [resolve(df, p) for p in paths]
+    ident, out = F.col(f"`{id_col}`").cast("long"), df
+    for p, f in zip(paths, found):
+        if sparse:
+            out = out.where(f[0].isNotNull() if f else F.lit(False))
+    many = {i: values_of(df, p, sparse)[0] for i, (p, f) in enumerate(zip(paths, found)) if f and f[2]}
     size = F.lit(1).cast("long")
-    for a in arrays:
+    for a in many.values():
         size = size * F.size(a)
-    checked = F.when(size > most, F.raise_error(F.concat(F.lit(f"more than {most} index entries for document "), F.col(f"`{id_col}`").cast("string"))).cast("long")).otherwise(F.col(f"`{id_col}`").cast("long"))
-    out = df.select(checked.alias("_id"), *(a.alias(f"a{i}") for i, a in enumerate(arrays, 1)))
-    for i in range(1, len(paths) + 1):
-        out = out.withColumn(f"v{i}", F.explode(f"a{i}"))
-    return out.select(*(f"v{i}" for i in range(1, len(paths) + 1)), "_id")
+    if many:
+        ident = F.when(size > most, F.raise_error(F.concat(F.lit(f"more than {most} index entries for document "), ident.cast("string"))).cast("long")).otherwise(ident)
+    one = lambda f: f[0] if f else F.lit(None).cast("string")
+    out = out.select(ident.alias("_id"), *((many[i] if i in many else one(f)).alias(f"v{i + 1}") for i, f in enumerate(found)))
+    for i in many:
+        out = out.withColumn(f"v{i + 1}", F.explode(f"v{i + 1}"))
+    return out.select(*(f"v{i + 1}" for i in range(len(paths))), "_id")

@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import Num
+
 _LOW, _HIGH = -9223372036854775808.0, 9223372036854775808.0
 
 
 def equal(c: Column, v) -> Column:
+    """Num(v) is equal to numbers of any width, in a column (whole, real) of which one is set."""
+    if isinstance(v, Num):
+        whole, real = c.getField("whole"), c.getField("real")
+        if v.value != int(v.value):
+            return F.coalesce(real == F.lit(float(v.value)), F.lit(False))
+        n = F.lit(int(v.value)).cast("long")
+        return F.coalesce(whole == n, F.lit(False)) | exact_equal(n, real)
     return c.isNull() if v is None else c == F.lit(v)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -46,7 +46,8 @@ class Scan:
 
 @dataclass
 class Index:
-    """entries: v1..vk, _id. stale: entries may lack documents, so only the documents answer."""
+    """entries: v1..vk, _id. stale: entries may lack documents, so only the documents answer. stored: entries are
+    a table written in index order, whose bounds in files and row groups let a scan read what it asks for."""
 
     name: str
     fields: list[str]
@@ -55,6 +56,7 @@ class Index:
     sparse: bool = False
     stale: bool = False
     stats: tuple[int, int] | None = None
+    stored: bool = False
     columns: list[str] = field(init=False)
 
     def __post_init__(self):
@@ -80,6 +82,10 @@ class Index:
         if self.stale:
             raise ValueError(f"index {self.name} is stale")
         hits = self.entries.where(scan.condition(self.columns))
+        if self.stored:  # few ids go to the scan of the documents, which reads only where they can be
+            few = [r._id for r in hits.select("_id").distinct().limit(MOST_IDS + 1).collect()]
+            if len(few) <= MOST_IDS:
+                docs = docs.where(F.col(f"`{id_col}`").isin(few))
         both = hits.join(docs.withColumnRenamed(id_col, "__key"), F.col("_id") == F.col("__key"))
         both = both.drop("__key") if id_col == "_id" else both.withColumnRenamed("__key", id_col)
         return both.orderBy(*self._order(scan.reverse))
@@ -88,6 +94,22 @@ class Index:
         return stats.summary(self.entries, self.columns)
 
 
+#: Ids of documents that are sent to the documents' scan.
+MOST_IDS = 1000
+
+
+def save(index: Index, path: str) -> Index:
+    """The index as a stored one: entries in ranges of index order, each sorted."""
+    spark, order = index.entries.sparkSession, index._order(False)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index.entries.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(path)
+    return load(spark, path, index.name, index.fields, index.unique, index.sparse)
+
+
+def load(spark: SparkSession, path: str, name: str, fields: list[str], unique: bool = False, sparse: bool = False) -> Index:
+    return Index(name, fields, spark.read.parquet(path), unique, sparse, stored=True)
+
+
 def create(docs: DataFrame, id_col: str, name: str, fields: list[str], unique: bool = False, sparse: bool = False) -> Index:
     """With backfill; a unique index over equal values of different documents is refused."""
     index = Index(name, fields, expand(docs, id_col, fields, sparse), unique, sparse)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..work import free, written
+
 
 def seek(df: DataFrame, key: str, k, which: str) -> DataFrame:
     """The row of the floor (<= k), lower (< k), ceiling (>= k) or higher (> k) key, or none: a partial top 1."""
@@ -39,21 +42,41 @@ def next_page(df: DataFrame, key: str, after, take: int, reverse: bool = False)
 
 
 def walk(df: DataFrame, key: str, take: int, reverse: bool = False) -> Iterator[list]:
-    """Pages of rows until none is left; only a page is held."""
-    after = None
-    while rows := next_page(df, key, after, take, reverse).collect():
-        yield rows
-        after = rows[-1][key]
+    """Pages of rows until none is left: one ordered pass, of which a task's rows are held at a time. To go on elsewhere, use next_page."""
+    c = F.col(f"`{key}`")
+    rows = df.orderBy(c.desc_nulls_last() if reverse else c.asc_nulls_first()).toLocalIterator(prefetchPartitions=True)
+    while page := list(islice(rows, take)):
+        yield page
+
+
+def bounds_below(value: Column, bounds: list[Column], inclusive: bool = False, fine: int = 16) -> Column:
+    """How many of the sorted literal bounds are below value (or equal, if inclusive): among every fine-th of every fine-th first, so that few are looked at."""
+    if not bounds:
+        return F.lit(0)
+    levels = [bounds]
+    while len(levels[-1]) > fine:
+        levels.append(levels[-1][::fine])
+    below = F.lit(0)
+    for level in reversed(levels):
+        base = F.greatest(below - 1, F.lit(0)) * fine
+        below = base + F.size(F.filter(F.slice(F.array(*level), base + 1, F.lit(fine)), lambda b: b <= value if inclusive else b < value))
+    return below
+
+
+def ranged(df: DataFrame, order: list[Column], part: str, name: str) -> DataFrame:
+    """df as a table written in ranges of this order, with the number of its range in column part."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), name)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """All rows with their places from 1 in this order: places within ranges of keys, after the counts of the ranges before."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    bases = ranged.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("__inner", inner).join(F.broadcast(bases), "__part").withColumn(name, F.col("__base") + F.col("__inner")).select(*df.columns, name)
+    """All rows with their places from 1 in this order: places within written ranges of keys, after the counts of the ranges before."""
+    part, count, base, inner = free([*df.columns, name], "part", "count", "base", "inner")
+    table = ranged(df, order, part, "ranges")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = table.groupBy(part).agg(F.count("*").alias(count)).select(part, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
+    within = table.withColumn(inner, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return within.join(F.broadcast(bases), part).withColumn(name, F.col(base) + F.col(inner)).select(*(f"`{c}`" for c in df.columns), name)
 
 
 def counted(df: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 BUCKETS = 64
 
 
@@ -35,11 +37,8 @@ def histogram(index: DataFrame, column: str, buckets: int = BUCKETS, closed: boo
     """
     n = index.count()
     quota = 1 if n <= buckets else -(-n // buckets)
-    spark = index.sparkSession
     counts = index.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, F.col("value").asc_nulls_first()).withColumn("part", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = scan.ranged(counts, [F.col("value").asc_nulls_first()], "part", "value-counts")
     bases = ranged.groupBy("part").agg(F.sum("n").alias("t")).withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = Window.partitionBy("part").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     upto = ranged.withColumn("inner", F.sum("n").over(before)).join(F.broadcast(bases.select("part", "base")), "part").select("value", "n", (F.col("base") + F.col("inner")).alias("upto"))
@@ -76,3 +75,8 @@ def percentiles(values: DataFrame, column: str, shares: list[float]) -> DataFram
 def opaque_count(df: DataFrame, type_column: str, known: list[str]) -> DataFrame:
     """How many values are of a type that isn't known here, by type: they are kept but neither compared nor indexed."""
     return df.where(~F.col(type_column).isin(known)).groupBy(type_column).agg(F.count("*").alias("values"))
+
+
+def features(df: DataFrame, column: str) -> DataFrame:
+    """Union of the feature bits of all rows."""
+    return df.agg(F.bit_or(column).alias(column))
