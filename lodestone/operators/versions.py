@@ -8,12 +8,20 @@ version comes back.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MOST_RANGES = 10_000
+from ..work import free, written
+from . import scan as scans
+
+#: Range deletes that the driver sweeps; intervals in a bin of these; bins of more.
+MOST_RANGES, IN_BIN, BINS = 10_000, 16, 2048
 
 
 def newest(log: DataFrame, snapshot: int | Column | None = None) -> DataFrame:
@@ -34,30 +42,106 @@ def range_deletes(log: DataFrame, snapshot: int | Column | None = None) -> DataF
     return rows.select("tree_id", F.col("key").alias("low"), F.col("end_key").alias("high"), F.col("seq").alias("rd_seq"))
 
 
-def hide_ranges(versions: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Drops versions that a later range delete [low, high) covers.
-
-    Up to MOST_RANGES ranges are sent to the versions; of more, the boundaries cut the key space into
-    intervals with the latest delete over each, and versions meet the one interval they are in.
-    """
-    kept = versions
+def _sweep(ranges: Iterable[tuple]) -> list[tuple]:
+    """Disjoint (low, high, seq), ascending: the latest of the ranges (low, high, seq) over each place."""
+    begin = sorted(ranges, key=lambda r: r[0])
+    edges = sorted({x for low, high, _ in begin for x in (low, high) if low < high})
+    open_, out, at = [], [], 0
+    for edge, until in zip(edges, edges[1:]):
+        while at < len(begin) and begin[at][0] <= edge:
+            heapq.heappush(open_, (-begin[at][2], at))
+            at += 1
+        while open_ and begin[open_[0][1]][1] <= edge:
+            heapq.heappop(open_)
+        if open_:
+            seq = -open_[0][0]
+            if out and out[-1][1] == edge and out[-1][2] == seq:
+                out[-1] = (out[-1][0], until, seq)
+            else:
+                out.append((edge, until, seq))
+    return out
+
+
+def _bins(kind: T.DataType, places: list[tuple]) -> Callable[[Column, Column], Column]:
+    """Of sorted (tree_id, key), the bin of a (tree_id, key): how many of them aren't above it."""
+    literals = [F.struct(F.lit(t).cast("int").alias("t"), F.lit(k).cast(kind).alias("k")) for t, k in places]
+    return lambda tree, key: scans.bounds_below(F.struct(tree.cast("int").alias("t"), key.alias("k")), literals, inclusive=True)
+
+
+def _few_intervals(ranges: DataFrame) -> tuple[DataFrame, Callable]:
+    """Disjoint intervals (t, bin, low, high, rd_seq) of up to MOST_RANGES ranges, swept on the driver, and the bins they are dealt to, a few to each."""
+    by: dict[int, list] = {}
+    for r in ranges.collect():
+        by.setdefault(r.tree_id, []).append((r.low, r.high, r.rd_seq))
+    swept = [(t, *x) for t in sorted(by) for x in _sweep(by[t])]
+    places = [x[:2] for x in swept[::IN_BIN]]
+    rows = []
+    for t, low, high, seq in swept:
+        first, last = bisect_right(places, (t, low)), bisect_left(places, (t, high))
+        rows += [(t, b, low, high, seq) for b in range(first, max(first, last) + 1)]
+    kind = ranges.schema["low"].dataType
+    schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("low", kind), T.StructField("high", kind), T.StructField("rd_seq", T.LongType())])
+    return ranges.sparkSession.createDataFrame(rows, schema), _bins(kind, places)
+
+
+def _many_intervals(ranges: DataFrame) -> tuple[DataFrame, Callable]:
+    """As _few_intervals, of any number. Bins are cut by a sample of the ranges' starts; a range goes to the two bins where it
+    begins and ends, and those wholly under it it covers as at most two nodes of each level of a binary tree of bins; then each bin is swept by itself."""
+    sample = ranges.select("tree_id", "low").orderBy(F.rand(11)).limit(8 * BINS).collect()
+    places = sorted({(r.tree_id, r.low) for r in sample})
+    places = places[:: max(1, len(places) // BINS)]
+    kind = ranges.schema["low"].dataType
+    bin_of = _bins(kind, places)
+    placed = written(ranges.withColumns({"first": bin_of(F.col("tree_id"), F.col("low")), "last": bin_of(F.col("tree_id"), F.col("high"))}), "ranges")
+    ends = placed.select("tree_id", F.explode(F.array_distinct(F.array("first", "last"))).alias("bin"), "low", "high", "rd_seq")
+    height = len(places).bit_length() + 1
+    node = lambda level, n: F.struct(level.alias("level"), n.cast("int").alias("node"))
+
+    def step(state, level):
+        a, b = state["a"], state["b"]
+        odd_a, odd_b = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
+        none = F.array().cast("array<struct<level:int,node:int>>")
+        nodes = F.concat(state["nodes"], F.when(odd_a, F.array(node(level, a))).otherwise(none), F.when(odd_b, F.array(node(level, b - 1))).otherwise(none))
+        up = F.when(odd_a, a + 1).otherwise(a), F.when(odd_b, b - 1).otherwise(b)
+        return F.struct(F.floor(up[0] / 2).cast("int").alias("a"), F.floor(up[1] / 2).cast("int").alias("b"), nodes.alias("nodes"))
+
+    start = F.struct((F.col("first") + 1).cast("int").alias("a"), F.col("last").cast("int").alias("b"), F.array().cast("array<struct<level:int,node:int>>").alias("nodes"))
+    inner = F.aggregate(F.sequence(F.lit(0), F.lit(height)), start, step)["nodes"]
+    nodes = placed.where("last - first > 1").select("tree_id", "rd_seq", F.explode(inner).alias("x")).groupBy("tree_id", "x.level", "x.node").agg(F.max("rd_seq").alias("rd_seq"))
+    spread = F.explode(F.sequence(F.col("node") * F.expr("shiftleft(1, level)"), (F.col("node") + 1) * F.expr("shiftleft(1, level)") - 1))
+    whole = nodes.select("tree_id", spread.alias("bin"), "rd_seq").groupBy("tree_id", "bin").agg(F.max("rd_seq").alias("rd_seq"))
+    whole = whole.select("tree_id", "bin", F.lit(None).cast(kind).alias("low"), F.lit(None).cast(kind).alias("high"), "rd_seq")
+    schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("low", kind), T.StructField("high", kind), T.StructField("rd_seq", T.LongType())])
+
+    def sweep(key, group):
+        import pandas as pd
+
+        rows = [(int(key[0]), int(key[1]), *x) for x in _sweep(zip(group.low, group.high, group.rd_seq.tolist()))]
+        return pd.DataFrame(rows, columns=schema.names)
+
+    swept = ends.groupBy("tree_id", "bin").applyInPandas(sweep, schema)
+    return written(swept.unionByName(whole.withColumnRenamed("tree_id", "t").select(*schema.names)), "intervals"), bin_of
+
+
+def _covered(rows: DataFrame, ranges: DataFrame, how: str, seq: str | None = None) -> DataFrame:
+    """rows (tree_id, key, ..) that a range covers (left_semi) or that none covers (left_anti); with seq, only ranges later than that column count.
+
+    Ranges become disjoint intervals in bins of a few, so that a row is held against those of its bin only, wherever
+    it is; intervals are sent or shuffled by bin, as their size asks."""
     n = ranges.count()
     if not n:
-        return kept
-    if n <= MOST_RANGES:
-        r = F.broadcast(ranges.withColumnRenamed("tree_id", "rd_tree"))
-        hit = (kept["tree_id"] == r["rd_tree"]) & (kept["key"] >= r["low"]) & (kept["key"] < r["high"]) & (r["rd_seq"] > kept["seq"])
-        return kept.join(r, hit, "left_anti")
-    edges = ranges.select("tree_id", F.col("low").alias("key")).unionByName(ranges.select("tree_id", F.col("high").alias("key"))).distinct()
-    after = edges.withColumn("until", F.lead("key").over(Window.partitionBy("tree_id").orderBy("key"))).where("until is not null")
-    covered = after.alias("e").join(ranges.alias("r"), (F.col("e.tree_id") == F.col("r.tree_id")) & (F.col("r.low") <= F.col("e.key")) & (F.col("r.high") >= F.col("e.until")))
-    intervals = covered.groupBy("e.tree_id", "e.key", "e.until").agg(F.max("rd_seq").alias("rd_seq"))
-    marks = intervals.select("tree_id", "key", F.struct("until", "rd_seq").alias("mark"), F.lit(0).alias("kind"))
-    rows = kept.withColumn("mark", F.lit(None).cast(marks.schema["mark"].dataType)).withColumn("kind", F.lit(1))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    seen = both.withColumn("mark", F.last("mark", ignorenulls=True).over(Window.partitionBy("tree_id").orderBy("key", "kind")))
-    hidden = F.coalesce((F.col("key") < F.col("mark.until")) & (F.col("mark.rd_seq") > F.col("seq")), F.lit(False))
-    return seen.where((F.col("kind") == 1) & ~hidden).select(*kept.columns)
+        return rows if how == "left_anti" else rows.where(F.lit(False))
+    intervals, bin_of = _few_intervals(ranges) if n <= MOST_RANGES else _many_intervals(ranges)
+    (own,) = free(rows.columns, "bin")
+    placed = rows.withColumn(own, bin_of(F.col("tree_id"), F.col("key")))
+    r = F.broadcast(intervals) if n <= MOST_RANGES else intervals
+    hit = (placed["tree_id"] == r["t"]) & (placed[own] == r["bin"]) & (r["low"].isNull() | ((placed["key"] >= r["low"]) & (placed["key"] < r["high"])))
+    return placed.join(r, hit & (r["rd_seq"] > placed[seq]) if seq else hit, how).drop(own)
+
+
+def hide_ranges(versions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Drops versions that a later range delete [low, high) covers."""
+    return _covered(versions, ranges, "left_anti", "seq")
 
 
 def alive(now_ms: int | None) -> Column:
@@ -141,8 +225,7 @@ def conflicts(log: DataFrame, touched: DataFrame, start_seq: int) -> DataFrame:
     """(tree_id, key) of touched that were written after start_seq, by key or by a range delete over it."""
     later = log.where(F.col("seq") > start_seq)
     keys = touched.join(later.where(F.col("op") != "range_delete").select("tree_id", "key"), ["tree_id", "key"], "left_semi")
-    r = later.where(F.col("op") == "range_delete").select(F.col("tree_id").alias("t"), F.col("key").alias("low"), F.col("end_key").alias("high"))
-    ranged = touched.join(r, (touched["tree_id"] == r["t"]) & (touched["key"] >= r["low"]) & (touched["key"] < r["high"]), "left_semi")
+    ranged = _covered(touched, range_deletes(later), "left_semi")
     return keys.select("tree_id", "key").unionByName(ranged.select("tree_id", "key")).distinct()
 
 

@@ -93,6 +93,29 @@ def test_range_deletes(spark, monkeypatch, most):
     assert [r.key for r in V.scan(data, 1, 0, 8).collect()] == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_any_ranges_hide_what_a_plain_loop_hides(spark, monkeypatch, most):
+    """Of several trees, overlapping, nested and touching; swept on the driver or bin by bin."""
+    import random
+
+    monkeypatch.setattr(V, "MOST_RANGES", most)
+    monkeypatch.setattr(V, "BINS", 12)
+    monkeypatch.setattr(V, "IN_BIN", 3)
+    r = random.Random(8)
+    ranges = []
+    for seq in range(1, 80):
+        low = r.randint(0, 300)
+        ranges.append((r.randint(1, 3), low, seq * 3, low + r.choice([1, 2, 5, 40, 250])))
+    puts = [(t, k, r.randint(1, 240)) for t in (1, 2, 3, 4) for k in range(-3, 560, 2)]
+    schema = "tree_id int, key long, seq long, op string, value string, expiry_ms long, end_key long"
+    data = spark.createDataFrame([(t, k, s, "put", "v", None, None) for t, k, s in puts] + [(t, low, s, "range_delete", None, None, high) for t, low, s, high in ranges], schema)
+    want = sorted((t, k) for t, k, s in puts if not any(t == t2 and low <= k < high and s2 > s for t2, low, s2, high in ranges))
+    assert rows(V.read(data).select("tree_id", "key")) == sorted(want, key=repr)
+    touched = data.where("op = 'put'").select("tree_id", "key")
+    hit = {(t, k) for t, k, s in puts if s > 200 or any(t == t2 and low <= k < high and s2 > 200 for t2, low, s2, high in ranges)}
+    assert {tuple(x) for x in V.conflicts(data, touched, 200).collect()} == hit
+
+
 def test_expiry_hides_and_never_reveals(spark):
     data = log(spark, (1, 1, "put", "old", None, None), (1, 2, "put", "new", 100, None), (2, 3, "put", "x", 101, None))
     at = lambda now: rows(V.read(data, now_ms=now).select("key", "value"))
