@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,13 +14,20 @@ from . import stemmer
 
 try:
     import regex
-except ImportError:  # plain letters and digits are then cut by the rules below
+except ImportError:  # word boundaries of Unicode are then refused, never replaced by other ones
     regex = None
 
 UNICODE = unicodedata.unidata_version
 LONGEST = 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-NAMES = ("std.v1",)
+#: Analyzers by name: what cuts a text into segments, of which those that are no words are left out.
+REGISTERED: dict[str, Callable[[str], list[str]]] = {}
+
+
+def register(name: str, cut: Callable[[str], list[str]]) -> None:
+    """An analyzer of one's own: cut gives the words of a normalised text. Lower case, stop words and stems are as ever."""
+    if REGISTERED.setdefault(name, cut) is not cut:
+        raise ValueError(f"there is an analyzer {name!r}")
 
 
 def normalise(text: str, form: str = "NFKC") -> str:
@@ -30,16 +36,16 @@ def normalise(text: str, form: str = "NFKC") -> str:
 
 def segments(text: str) -> list[str]:
     """Segments between Unicode word boundaries."""
-    if regex is not None:
-        return [s for s in regex.split(r"(?V1w)\b", text) if s]
-    return re.findall(r"\w+(?:['.,:·’]\w+)*|\s+|.", text)
+    return [s for s in regex.split(r"(?V1w)\b", text) if s]
 
 
 def is_word(segment: str) -> bool:
     """Whether some sign is alphabetic or numeric."""
-    if regex is not None:
-        return bool(regex.search(r"[\p{Alphabetic}\p{N}]", segment)) or any(unicodedata.numeric(c, None) is not None for c in segment)
-    return any(c.isalpha() or unicodedata.numeric(c, None) is not None for c in segment)
+    return bool(regex.search(r"[\p{Alphabetic}\p{N}]", segment)) or any(unicodedata.numeric(c, None) is not None for c in segment)
+
+
+def words(text: str) -> list[str]:
+    return [s for s in segments(text) if is_word(s)]
 
 
 def lower(text: str) -> str:
@@ -58,10 +64,14 @@ class Analyzer:
     name: str = "std.v1"
     unicode_version: str = UNICODE
     _stops: frozenset[str] = field(init=False, repr=False, default=frozenset())
+    _cut: Callable[[str], list[str]] | None = field(init=False, repr=False, default=None)
 
     def __post_init__(self):
-        if self.name not in NAMES:
+        if self.name == "std.v1" and regex is None:
+            raise ValueError("std.v1 needs the package regex")
+        if self.name not in ("std.v1", *REGISTERED):
             raise ValueError(f"no analyzer {self.name!r} is registered here")
+        object.__setattr__(self, "_cut", REGISTERED.get(self.name))
         if self.unicode_version != UNICODE:
             raise ValueError(f"the text was analysed with Unicode {self.unicode_version}; here is {UNICODE}")
         if self.stem is not None and (self.stem != "english" or self.stem_version != stemmer.VERSION):
@@ -73,9 +83,7 @@ class Analyzer:
         if not isinstance(text, str):
             return []
         out, position = [], -1
-        for segment in segments(normalise(text)):
-            if not is_word(segment):
-                continue
+        for segment in (self._cut or words)(normalise(text)):
             position += 1
             token = lower(segment)
             if len(token) > LONGEST or token in self._stops:

@@ -1,7 +1,12 @@
+import itertools
+
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from lodestone.functions import stemmer
-from lodestone.functions.analyzer import Analyzer, lower
+from lodestone.functions import blocks, stemmer
+from lodestone.functions.analyzer import Analyzer, lower, register
 from lodestone.operators import text
 from tests.conftest import rows
 
@@ -87,3 +92,56 @@ def test_blocks_and_dictionary(spark):
     assert rows(first) == [("w", 1)]
     more = text.postings(spark.createDataFrame([(1, "a", 0), (1, "w", 1), (2, "z", 0)], "_id long, token string, position int"))
     assert rows(text.dictionary(more, first)) == [("a", 2), ("w", 1), ("z", 3)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 10**12), st.lists(st.integers(0, 1000), max_size=5)), min_size=1, max_size=128), st.integers(-(2**62), 2**62), st.booleans())
+def test_posting_blocks_round_trip(steps, first, has):
+    ids, at = [], first
+    for step, _ in steps:
+        ids.append(at)
+        at += step
+    places = [list(itertools.accumulate(p)) for _, p in steps]
+    freqs = [len(p) for p in places]
+    data = blocks.encode_postings(ids, freqs, places if has else None)
+    assert blocks.decode_postings(data) == (ids, freqs, places if has else None)
+    for bad in (data[:-1], data + b"x", b"\2" + data[1:]):
+        with pytest.raises(blocks.BadBlock):
+            blocks.decode_postings(bad)
+
+
+def test_bad_blocks_are_refused():
+    for args in (([], [], None), ([2, 1], [0, 0], None), ([1, 1], [0, 0], None), ([1], [2], [[1]]), ([1], [2], [[5, 4]]), (list(range(129)), [1] * 129, None)):
+        with pytest.raises(blocks.BadBlock):
+            blocks.encode_postings(*args)
+    assert blocks.decode_neighbours(blocks.encode_neighbours([9, 2, 700, 1])) == [9, 2, 700, 1]
+    book = np.arange(24, dtype=np.float32).reshape(2, 3, 4)
+    kind, back = blocks.decode_codebook(blocks.encode_codebook(book))
+    assert kind == "product" and np.array_equal(back, book)
+
+
+def test_a_stored_index_answers_the_same(spark, tmp_path):
+    many = spark.range(3000).selectExpr("id * 3 as _id", "explode(array('w', concat('t', id % 7), if(id % 5 = 0, 'rare', 'w'))) as token").selectExpr("_id", "token", "int(row_number() over (partition by _id order by token) - 1) as position")
+    index = text.postings(many)
+    stored = text.save(index, f"{tmp_path}/index", 50)
+    assert rows(stored.postings().select("token", "_id", "freq", "positions")) == rows(index)
+    assert rows(stored.term_stats()) == rows(text.term_stats(index))
+    assert stored.blocks.agg({"docs": "max"}).first()[0] == 50
+    assert rows(stored.search(["rare", "t3"])) == rows(text.search(index, ["rare", "t3"])) and stored.search([]).count() == 0
+    assert rows(stored.phrase([("rare", 0), ("t3", 1)])) == rows(text.phrase(index, [("rare", 0), ("t3", 1)]))
+    plan = stored.blocks.where("token in ('rare', 't3')")._jdf.queryExecution().executedPlan().toString()
+    assert "In(token, [rare,t3])" in plan
+    bare = text.save(index.drop("positions"), f"{tmp_path}/bare")
+    with pytest.raises(ValueError):
+        bare.phrase([("rare", 0)])
+
+
+def test_analyzers_of_ones_own(spark, docs):
+    with pytest.raises(ValueError):
+        Analyzer(name="commas.v1")
+    register("commas.v1", lambda text: text.split(", "))
+    a = Analyzer(name="commas.v1", stopwords=frozenset(["b"]))
+    assert a.analyze("A, b, c d") == [("a", 0), ("c d", 2)]
+    assert rows(text.search(text.build(docs, "_id", ["body"], a), ["the quick brown fox"])) == [(1,)]
+    with pytest.raises(ValueError):
+        register("commas.v1", str.split)
