@@ -112,3 +112,45 @@ def test_quantised_and_slots(spark, vectors):
     more = vector.assign_slots(vectors.where("_id < 6"), first)
     assert rows(more) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
     assert vector.verify_maps(first, more).count() == 2
+
+
+def test_stored_shapes_lie_along_a_curve(spark, tmp_path):
+    from lodestone.functions import geometry as G
+
+    grid = spark.range(4096).selectExpr("id as _id", "double(id % 64) as x", "double(id div 64) as y")
+    shapes = spatial.with_boxes(spatial.encoded(grid, lambda i, x, y: G.point(x, y)))
+    stored = spatial.save(shapes.repartition(3), f"{tmp_path}/shapes")
+    assert rows(stored.select("_id", *spatial.BOX)) == rows(shapes.select("_id", *spatial.BOX))
+    files = [spark.read.parquet(f).agg(*(g(c) for c in ("xmin", "ymin") for g in (F.min, F.max))).first() for f in stored.inputFiles()]
+    area = sum((f["max(xmin)"] - f["min(xmin)"] + 1) * (f["max(ymin)"] - f["min(ymin)"] + 1) for f in files)
+    assert len(files) == 4 and area < 2 * 4096  # rows dealt at random would cover the square four times
+    assert spatial.verify(stored).count() == 0
+    none = spark.createDataFrame([(1, None)], "_id long, geom binary")
+    assert spatial.save(spatial.with_boxes(none), f"{tmp_path}/none").count() == 1
+
+
+def test_tables_of_queries_and_lists(spark, tmp_path):
+    import numpy as np
+
+    from lodestone.operators import vector
+
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(c, 1, (80, 8)) for c in range(0, 40, 8)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None)], "_id long, embedding array<float>")
+    queries = df.where("_id % 50 = 0").selectExpr("_id as query_id", "embedding")
+    for metric in vector.METRICS:
+        far = {"l2": lambda q: np.sqrt(((x.astype(float) - q) ** 2).sum(1)), "dot": lambda q: -x.astype(float) @ q, "cosine": lambda q: 1 - x.astype(float) @ q / np.linalg.norm(x.astype(float), axis=1) / np.linalg.norm(q)}[metric]
+        got = {}
+        for g in vector.search_many(df, queries, 5, metric, block=3).collect():
+            got.setdefault(g.query_id, {})[g.place] = g._id
+        assert {q: [p[i] for i in range(1, 6)] for q, p in got.items()} == {q: np.lexsort((np.arange(len(x)), far(x[q].astype(float)).round(12)))[:5].tolist() for q in range(0, 400, 50)}
+    vector.save_lists(df, f"{tmp_path}/lists", 10)
+    assert spark.read.parquet(f"{tmp_path}/lists/rows").count() == 400
+    near = [g._id for g in vector.search_lists(spark, f"{tmp_path}/lists", x[7].tolist(), 5, 10).collect()]
+    assert near == [g._id for g in vector.search(df, x[7].tolist(), 5).collect()]
+    book = vector.train_codebook(df, 4, 16)
+    coded = vector.quantise(df, book).collect()
+    assert len(coded) == 400 and all(len(c.code) == 4 and max(c.code) < 16 for c in coded)
+    with pytest.raises(ValueError):
+        vector.search_many(df, queries.limit(0), 5, "near")
+    assert vector.search_many(df, queries.limit(0), 5).count() == 0
