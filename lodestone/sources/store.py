@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.paths import expand
 from ..operators import index as ix
 from ..operators import versions as V
 
@@ -89,6 +90,7 @@ class State:
     attributes: dict[str, dict] = field(default_factory=dict)
     feed: list[int] = field(default_factory=list)
     feed_from: dict[str, int] = field(default_factory=dict)
+    entries: dict[str, list[dict]] = field(default_factory=dict)  # of each index: written entries, and the ids each replaced
 
 
 class Database:
@@ -136,7 +138,9 @@ class Database:
             raise StoreError(f"{name} is of a kind that isn't known here; it must not be deleted")
         for n in [n for n, t in self.state.trees.items() if t["params"].get("owner") == name]:
             del self.state.trees[n]
+            self.state.entries.pop(n, None)
         del self.state.trees[name]
+        self.state.entries.pop(name, None)
         self._commit([])
 
     def set_attribute(self, name: str, key: str, value) -> None:
@@ -154,7 +158,7 @@ class Database:
             f({"commit": self.state.commit, "seq": self.state.seq, **(event or {})})
 
     def _append(self, name: str, rows: DataFrame, event: str) -> None:
-        """rows: key, op, expiry_ms, end_key and the fields; seqs follow the newest in order of keys, within ranges of keys."""
+        """rows: key, op, expiry_ms, end_key and the fields; seqs follow the newest in order of keys, within ranges of keys. Stored indexes follow in the same commit."""
         tree = self.state.trees[name]
         rows = rows.withColumn("written_ms", F.lit(self.clock()))
         path = f"{self.root}/log/tree={tree['tree_id']}/{self.state.commit + 1:012d}"
@@ -171,9 +175,61 @@ class Database:
         numbered = held.withColumn("part", part).join(F.broadcast(offset), "part").withColumn("seq", F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "start", "place")
         numbered.sortWithinPartitions("key").write.parquet(path)
         self.files.delete(staged)
+        if event in ("put", "delete", "range_delete"):
+            self._follow(name, self.spark.read.parquet(path), event)
         self.state.seq = at - 1
         self._commit([{"tree": name, "path": path[len(self.root) + 1 :], "rows": sum(sizes.values()), "low": starts[0][1] if starts else at, "high": at - 1}], {"event": event, "tree": name})
 
+    # --- stored indexes ---
+
+    def _indexes(self, name: str) -> dict[str, dict]:
+        return {n: t for n, t in self.state.trees.items() if t["kind"] == "index" and t["params"].get("owner") == name and not t["stale"]}
+
+    def _write_entries(self, index: str, entries: DataFrame, changed: DataFrame | None) -> None:
+        """One more piece of an index: new entries, and the ids whose older entries no longer count."""
+        tree = self.state.trees[index]
+        path = f"entries/tree={tree['tree_id']}/{self.state.commit + 1:012d}"
+        columns = [c for c in entries.columns if c.startswith("v")]
+        order = [F.col(c).asc_nulls_first() for c in [*columns, "_id"]]
+        entries.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).write.parquet(f"{self.root}/{path}/entries")
+        if changed is not None:
+            changed.write.parquet(f"{self.root}/{path}/ids")
+        self.state.entries.setdefault(index, []).append({"path": path, "ids": changed is not None})
+
+    def _follow(self, name: str, written: DataFrame, event: str) -> None:
+        for index, tree in self._indexes(name).items():
+            if event == "range_delete":  # the ids that are there now
+                r = written.select("key", "end_key").first()
+                changed = self.collection(name).scan(r["key"], r["end_key"]).select("_id")
+                entries = self.entries(index).where(F.lit(False))
+            else:
+                changed = written.select(F.col("key").alias("_id"))
+                puts = written.where("op = 'put'").withColumnRenamed("key", "_id")
+                p = tree["params"]
+                made = expand(puts, "_id", p["fields"], p["sparse"])
+                entries = made.join(puts.select("_id", "expiry_ms"), "_id").select(*made.columns, "expiry_ms")
+            self._write_entries(index, entries, changed)
+
+    def entries(self, index: str) -> DataFrame:
+        """v1..vk, _id, expiry_ms of an index as of the last commit: one piece is a plain scan; of several, a piece's entries count unless a later one replaced their ids."""
+        pieces, out = self.state.entries[index], None
+        replaced = None
+        for i, piece in reversed([*enumerate(pieces)]):
+            rows = self.spark.read.parquet(f"{self.root}/{piece['path']}/entries")
+            rows = rows if replaced is None else rows.join(replaced, "_id", "left_anti").select(*rows.columns)
+            out = rows if out is None else rows.unionByName(out)
+            if piece["ids"] and i:
+                ids = self.spark.read.parquet(f"{self.root}/{piece['path']}/ids")
+                replaced = ids if replaced is None else replaced.unionByName(ids)
+        return out
+
+    def compact_index(self, index: str) -> None:
+        """All pieces as one."""
+        entries = self.entries(index)
+        self.state.entries[index] = []
+        self._write_entries(index, entries, None)
+        self._commit([], {"event": "compact", "tree": index})
+
     def log(self, name: str) -> DataFrame:
         tree = self.state.trees[name]
         schema = T.StructType([*T._parse_datatype_string(VERSION_FIELDS).fields, *T.StructType.fromJson(json.loads(tree["params"]["schema"])).fields])
@@ -195,6 +251,8 @@ class Database:
     def restore(self, name: str) -> None:
         """Back to a checkpoint; counters go on, and other checkpoints stay."""
         self.state.abandoned.append([self.state.checkpoints[name]["seq"], self.state.seq])
+        for tree in self.state.trees.values():  # their entries are of what is given up
+            tree["stale"] |= tree["kind"] == "index"
         self._commit([])
 
     def expire_checkpoints(self) -> list[str]:
@@ -211,7 +269,8 @@ class Database:
     def backup(self, target: str, known: set[str] | None = None) -> list[str]:
         """Copies segments (only those not in known: incremental) and the manifest; the copy is checked before this returns."""
         copied = [s["path"] for s in self.state.segments if s["path"] not in (known or set())]
-        for p in copied:
+        pieces = [x["path"] for xs in self.state.entries.values() for x in xs if x["path"] not in (known or set())]
+        for p in copied + pieces:
             self.files.copy(f"{self.root}/{p}", f"{target}/{p}")
         self.files.write_new(f"{target}/manifest/{self.state.commit:012d}.json", json.dumps(self.state.__dict__))
         for s in self.state.segments:
@@ -259,6 +318,13 @@ class Database:
             owner = tree["params"].get("owner")
             if owner and owner not in self.state.trees:
                 found.append(f"{name}: its collection {owner} isn't there")
+            elif name in self._indexes(owner or ""):
+                try:
+                    c, p = self.collection(owner), tree["params"]
+                    wrong = ix.verify(c.index(p["fields"]), c.scan(), "_id").groupBy("finding").count().collect()
+                    found += [f"{name}: {r['count']} entries {r.finding}" for r in sorted(wrong)]
+                except Exception as e:
+                    found.append(f"{name}: can't be read ({type(e).__name__})")
         return found
 
     def repair(self) -> list[str]:
@@ -343,14 +409,41 @@ class Collection:
         return self.scan().count()
 
     def create_index(self, fields: list[str], unique: bool = False, sparse: bool = False) -> ix.Index:
+        """Written with backfill; every later write keeps it."""
         name = f"{self.name}:{','.join(fields)}"
         made = ix.create(self.scan(), "_id", name, fields, unique, sparse)
         self.db._new_tree(name, "index", owner=self.name, fields=fields, unique=unique, sparse=sparse)
+        self._fill(name, made)
         self.db._commit([])
-        return made
+        return self.index(fields)
+
+    def _fill(self, name: str, made: ix.Index) -> None:
+        log = self.db.log(self.name)
+        expiry = V.newest(log).select(F.col("key").alias("_id"), "expiry_ms")
+        self.db.state.entries[name] = []
+        self.db._write_entries(name, made.entries.join(expiry, "_id").select(*made.columns, "_id", "expiry_ms"), None)
+
+    def rebuild_index(self, fields: list[str]) -> ix.Index:
+        """Makes a stale index anew from the documents."""
+        name = f"{self.name}:{','.join(fields)}"
+        tree = self.db.state.trees[name]
+        p = tree["params"]
+        self._fill(name, ix.create(self.scan(), "_id", name, p["fields"], p["unique"], p["sparse"]))
+        tree["stale"] = False
+        self.db._commit([])
+        return self.index(fields)
 
     def index(self, fields: list[str]) -> ix.Index:
-        """Entries follow from the documents, so an index is never behind them; a stale one is made anew."""
-        tree = self.db.state.trees[f"{self.name}:{','.join(fields)}"]
+        """The stored entries, without expired documents; a stale index is answered from the documents until it is rebuilt."""
+        name = f"{self.name}:{','.join(fields)}"
+        tree = self.db.state.trees[name]
         p = tree["params"]
-        return ix.create(self.scan(), "_id", f"{self.name}:{','.join(fields)}", p["fields"], False, p["sparse"])
+        if tree["stale"]:
+            return ix.create(self.scan(), "_id", name, p["fields"], False, p["sparse"])
+        live = F.col("expiry_ms").isNull() | (F.col("expiry_ms") > self.db.clock())
+        return ix.Index(name, p["fields"], self.db.entries(name).where(live).drop("expiry_ms"), p["unique"], p["sparse"], stored=True)
+
+    def find(self, equal: dict, ranged: str | None = None, op: str | None = None, value=None, upper=None) -> DataFrame:
+        """Documents by equality on fields and a range on one more, through whichever index fits, else by a scan."""
+        indexes = [self.index(t["params"]["fields"]) for t in self.db._indexes(self.name).values()]
+        return ix.Planner(self.scan(), "_id", indexes).find(equal, ranged, op, value, upper)

@@ -128,3 +128,48 @@ def test_expired_checkpoints(db):
     with pytest.raises(StoreError):
         db.checkpoint("c")
     assert db.expire_checkpoints() == ["c"] and db.expire_checkpoints() == []
+
+
+def test_stored_indexes_follow_every_write(spark, db):
+    c = db.create_collection("t", SCHEMA)
+    c.put(docs(spark, *((i, f"n{i % 4}", i) for i in range(20))))
+    c.create_index(["name"])
+    c.create_index(["qty", "name"])
+
+    def same():
+        for fields in (["name"], ["qty", "name"]):
+            index = c.index(fields)
+            assert index.stored and rows(index.covering()) == rows(ix.create(c.scan(), "_id", "x", fields).covering())
+
+    same()
+    c.put(docs(spark, (3, "moved", 3), (50, "new", 1)))
+    same()
+    c.remove(docs(spark, (5, None, None), (50, None, None)).select("_id"))
+    c.remove_range(10, 14)
+    c.put(docs(spark, (12, "back", 12)))
+    same()
+    assert len(db.state.entries["t:name"]) > 3 and db.verify() == []
+    db.compact_index("t:name")
+    same()
+    again = Database(spark, db.root, db.clock).collection("t")
+    assert rows(again.index(["name"]).lookup(ix.Scan(("back",)))) == [(12,)]
+    assert rows(again.find({"qty": 3}).select("_id", "name")) == [(3, "moved")]
+    db.checkpoint("here")
+    c.put(docs(spark, (1, "later", 1)))
+    db.restore("here")
+    assert db.state.trees["t:name"]["stale"] and rows(c.index(["name"]).lookup(ix.Scan(("later",)))) == []
+    c.rebuild_index(["name"])
+    c.rebuild_index(["qty", "name"])
+    same()
+    db.state.entries["t:name"].append(db.state.entries["t:name"][0])
+    assert [f for f in db.verify() if f.startswith("t:name")]
+
+
+def test_expired_documents_leave_indexes(spark, db):
+    c = db.create_collection("t", SCHEMA)
+    c.create_index(["name"])
+    c.put(docs(spark, (1, "a", 1)), ttl_ms=500)
+    c.put(docs(spark, (2, "a", 2)))
+    assert rows(c.index(["name"]).lookup()) == [(1,), (2,)]
+    db.now[0] += 500
+    assert rows(c.index(["name"]).lookup()) == [(2,)]
