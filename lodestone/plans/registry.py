@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import keys
-from ..functions import predicates as P
-from ..functions.analyzer import ascii_tokens
+from ..functions import keys, stemmer
+from ..functions.analyzer import Analyzer, ascii_tokens
 from ..functions.paths import expand, resolve
 from ..functions.values import Num, index_range
 from ..operators import index as ix
 from ..operators import scan, spatial, stats, text, vector
 from ..operators import versions as V
+from ..sources.store import Database
 from ..streaming import feed
+from ..work import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,26 +84,35 @@ def seek_ends(t):
     return t("orders").agg(F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
-@query("SELECT o_orderkey AS _id, row_number() OVER (ORDER BY o_orderkey DESC) AS place FROM orders WHERE o_orderkey < 1000 ORDER BY o_orderkey DESC LIMIT 50")
-def reverse_scan(t):
-    return ranked(t("orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("_id")).orderBy(F.desc("_id")).limit(50), F.desc("_id"))
-
-
 @query("SELECT o_orderkey AS _id, row_number() OVER (ORDER BY o_orderkey DESC) AS place FROM orders")
-def reverse_scan_all(t):
-    """reverse_scan over every key, where that one takes 50."""
+def reverse_scan(t):
     docs = t("orders").select(F.col("o_orderkey").alias("_id"))
     return scan.numbered(docs, [F.desc_nulls_last("_id")]).orderBy("place")
 
 
 @query("SELECT * FROM (SELECT o_orderkey AS _id, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 100)")
 def skip_take_page(t):
-    return t("orders").select(F.col("o_orderkey").alias("_id"), "o_totalprice").orderBy("_id").offset(100).limit(25)
+    return scan.page(t("orders").select(F.col("o_orderkey").alias("_id"), "o_totalprice"), "_id", 100, 25)
 
 
 @query("SELECT * FROM (SELECT o_orderkey AS _id, o_totalprice FROM orders WHERE o_orderkey > 99 ORDER BY o_orderkey LIMIT 25)")
 def keyset_page(t):
-    return t("orders").where("o_orderkey > 99").select(F.col("o_orderkey").alias("_id"), "o_totalprice").orderBy("_id").limit(25)
+    return scan.next_page(t("orders").select(F.col("o_orderkey").alias("_id"), "o_totalprice"), "_id", 99, 25)
+
+
+@query("SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 400 AS page, o_orderkey AS _id FROM orders")
+def paged_walk(t):
+    """Every row with the number of its page of 400: places come from one ordered pass, not from a page at a time."""
+    docs = t("orders").select(F.col("o_orderkey").alias("_id"))
+    return scan.numbered(docs, [F.asc_nulls_first("_id")]).select(F.floor((F.col("place") - 1) / 400).alias("page"), "_id")
+
+
+@query("SELECT count(*) AS rows, CAST(sum(strlen(o_orderstatus) + strlen(o_orderpriority)) AS BIGINT) AS bytes FROM orders")
+def counted_scan(t):
+    """What the counters of a whole scan say after it."""
+    docs, seen = scan.counted(t("orders"))
+    docs.write.format("noop").mode("overwrite").save()
+    return docs.sparkSession.createDataFrame([(seen.get["rows"], seen.get["bytes"])], "rows long, bytes long")
 
 
 @query("SELECT event_id AS _id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -157,6 +168,14 @@ def index_fetch_documents(t):
     return _orders_index(t).fetch(t("orders"), "o_orderkey", ix.Scan((7,), "ge", 1000.0)).select("_id", "o_custkey", "o_totalprice", "o_orderstatus")
 
 
+@query("SELECT o_orderkey AS _id, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_custkey = 7 AND o_totalprice >= 1000.0")
+def stored_index_fetch(t):
+    """Through entries that were written in index order: the files' bounds say what is read of them, and of the documents."""
+    docs = t("orders")
+    index = ix.save(_orders_index(t), new_path(docs.sparkSession, "index"))
+    return index.fetch(docs, "o_orderkey", ix.Scan((7,), "ge", 1000.0)).select("_id", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
 @query("SELECT o_orderkey AS _id FROM orders WHERE o_custkey = 42")
 def index_eq_prefix(t):
     return _orders_index(t).lookup(ix.Scan((42,)))
@@ -172,14 +191,8 @@ def index_covering(t):
     return _orders_index(t).covering()
 
 
-@query("SELECT * FROM (SELECT o_custkey AS v1, o_totalprice AS v2, o_orderkey AS _id, row_number() OVER (ORDER BY o_custkey DESC, o_totalprice DESC, o_orderkey DESC) AS place FROM orders) WHERE place <= 100")
-def index_full_scan_reverse(t):
-    return ranked(_orders_index(t).covering(ix.Scan(reverse=True)).limit(100), F.desc("v1"), F.desc("v2"), F.desc("_id"))
-
-
 @query("SELECT o_custkey AS v1, o_totalprice AS v2, o_orderkey AS _id, row_number() OVER (ORDER BY o_custkey DESC, o_totalprice DESC, o_orderkey DESC) AS place FROM orders")
-def index_full_scan_reverse_all(t):
-    """index_full_scan_reverse over every entry, where that one takes 100."""
+def index_full_scan_reverse(t):
     return _orders_index(t).numbered(ix.Scan(reverse=True))
 
 
@@ -230,9 +243,17 @@ def index_starts_with(t):
 @query("SELECT p_partkey AS _id, CAST(p_size AS BIGINT) AS size FROM part WHERE p_size = 11")
 def index_eq_numeric_cross_type(t):
     """Half of the parts hold their size as a whole number, the others as a real one; equality is by number."""
-    docs = t("part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("long")).alias("whole"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_size").cast("double")).alias("real"))
-    same = (F.col("whole") == 11) | P.exact_equal(F.lit(11).cast("long"), F.col("real"))
-    return docs.where(same).select(F.col("p_partkey").alias("_id"), F.coalesce("whole", F.col("real").cast("long")).alias("size"))
+    docs = t("part").select("p_partkey", F.struct(F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("long")).alias("whole"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_size").cast("double")).alias("real")).alias("size"))
+    found = ix.create(docs, "p_partkey", "by_size", ["size"]).covering(ix.Scan((Num(11),)))
+    return found.select("_id", F.coalesce("v1.whole", F.col("v1.real").cast("long")).alias("size"))
+
+
+@query("SELECT p_partkey AS _id, row_number() OVER (ORDER BY p_size, p_partkey % 2, p_partkey) AS place FROM part")
+def key_value_order(t):
+    """Whole and real numbers in one order, by their encoded keys; of equal ones, whole numbers come first."""
+    size = F.struct(F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("long")).alias("whole"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_size").cast("double")).alias("real"))
+    keyed = keys.with_key(t("part").select("p_partkey", size.alias("size")), ["size"], "p_partkey")
+    return keys.id_of(scan.numbered(keyed.select("key"), [F.col("key")])).select("_id", "place")
 
 
 @query("SELECT word AS v1, p_partkey AS _id FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part)")
@@ -403,17 +424,100 @@ def compaction_keeps_snapshots(t):
     return V.read(V.compact(event_log(t), 6000), 8500).select("key", "seq", "value")
 
 
+def _store(t) -> Database:
+    return Database(t("region").sparkSession, new_path(t("region").sparkSession, "store"), lambda: 1_700_000_000_000)
+
+
+def _statuses(t):
+    return t("orders").select(F.col("o_orderkey").alias("_id"), F.col("o_orderstatus").alias("status"))
+
+
 @query("SELECT o_orderkey AS _id, CASE WHEN o_orderkey < 500 THEN 'NEW' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT o_orderkey + 100000000, 'ADDED' FROM orders WHERE o_orderkey < 50")
 def upsert_batch(t):
-    docs = t("orders").select(F.col("o_orderkey").alias("_id"), F.col("o_orderstatus").alias("status"))
+    docs = _statuses(t)
     batch = docs.where("_id < 500").withColumn("status", F.lit("NEW")).unionByName(docs.where("_id < 50").select((F.col("_id") + 100000000).alias("_id"), F.lit("ADDED").alias("status")))
-    return docs.join(batch, "_id", "left_anti").unionByName(batch)
+    c = _store(t).create_collection("orders", docs.drop("_id").schema)
+    c.put(docs)
+    c.put(batch)
+    return c.scan()
 
 
 @query("SELECT o_orderkey AS _id FROM orders WHERE o_orderstatus <> 'F'")
 def remove_docs(t):
-    docs = t("orders").select(F.col("o_orderkey").alias("_id"), "o_orderstatus")
-    return docs.join(docs.where("o_orderstatus = 'F'").select("_id"), "_id", "left_anti").select("_id")
+    docs = _statuses(t)
+    c = _store(t).create_collection("orders", docs.drop("_id").schema)
+    c.put(docs)
+    c.remove(docs.where("status = 'F'").select("_id"))
+    return c.scan().select("_id")
+
+
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'moved' ELSE c_mktsegment END AS v1, c_custkey AS _id FROM customer WHERE c_custkey % 5 <> 0")
+def store_index_maintained(t):
+    """A stored index after its documents were put, put again and removed."""
+    docs = t("customer").select(F.col("c_custkey").alias("_id"), F.col("c_mktsegment").alias("segment"))
+    c = _store(t).create_collection("customers", docs.drop("_id").schema)
+    c.put(docs)
+    c.create_index(["segment"])
+    c.put(docs.where("_id % 3 = 0").withColumn("segment", F.lit("moved")))
+    c.remove(docs.where("_id % 5 = 0").select("_id"))
+    return c.index(["segment"]).covering()
+
+
+@query("SELECT c_custkey AS _id, c_mktsegment AS segment FROM customer WHERE c_custkey % 2 = 0")
+def store_checkpoint_restored(t):
+    """Back to a checkpoint, after all was cleared."""
+    docs = t("customer").select(F.col("c_custkey").alias("_id"), F.col("c_mktsegment").alias("segment"))
+    db = _store(t)
+    c = db.create_collection("customers", docs.drop("_id").schema)
+    c.put(docs.where("_id % 2 = 0"))
+    db.checkpoint("even")
+    c.clear()
+    db.restore("even")
+    return c.scan()
+
+
+@query("SELECT c_custkey AS _id, c_mktsegment AS segment FROM customer WHERE c_custkey % 7 <> 0")
+def store_compacting_backup(t):
+    """A copy that holds what readers see and nothing else."""
+    docs = t("customer").select(F.col("c_custkey").alias("_id"), F.col("c_mktsegment").alias("segment"))
+    db = _store(t)
+    c = db.create_collection("customers", docs.drop("_id").schema)
+    c.put(docs)
+    c.remove(docs.where("_id % 7 = 0").select("_id"))
+    target = new_path(db.spark, "copy")
+    db.compacting_backup(target)
+    return Database(db.spark, target, db.clock).collection("customers").scan()
+
+
+@query("SELECT 'commits' AS name, 3 AS value UNION ALL SELECT 'seq', count(*) + 1 FROM customer UNION ALL SELECT 'visible', count(*) + 1 FROM customer UNION ALL SELECT 'findings', 0")
+def store_watermark(t):
+    """After three commits: the newest seq is what readers see, and the check of the store finds nothing."""
+    docs = t("customer").select(F.col("c_custkey").alias("_id"), F.col("c_mktsegment").alias("segment"))
+    db = _store(t)
+    c = db.create_collection("customers", docs.drop("_id").schema)
+    c.put(docs)
+    c.put(docs.where("_id = (SELECT 1)").limit(1).withColumn("_id", F.lit(-1).cast("long")))
+    m = db.metrics()
+    seen = db.log("customers").agg(F.max("seq")).first()[0]
+    return db.spark.createDataFrame([("commits", m["commits"]), ("seq", m["seq"]), ("visible", seen), ("findings", len(db.verify()))], "name string, value long")
+
+
+@query("SELECT user_id AS key, CASE WHEN user_id < 3 THEN 'first' ELSE 'second' END AS value FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 5)")
+def transaction_commit(t):
+    """Writes after a savepoint are rolled back; the last write of a key counts."""
+    log = event_log(t).withColumn("value", F.lit(None).cast("string")).where("op <> 'range_delete'")
+    there = sorted(r.key for r in log.where("key < 5").select("key").distinct().collect())
+    txn = V.Transaction(1 << 60)
+    for k in there:
+        txn.write(1, k, "put", "first")
+    txn.savepoint("s")
+    for k in there:
+        txn.write(1, k, "put", "lost")
+    txn.rollback_to("s")
+    for k in there:
+        if k >= 3:
+            txn.write(1, k, "put", "second")
+    return txn.commit(log, 1 << 60).select("key", "value")
 
 
 def _orders_log(t, rows):
@@ -460,12 +564,18 @@ def change_feed_retention(t):
     return feed.retain(feed.feed_of(event_log(t).where("op <> 'range_delete'"), [1]), 2000).select("seq", "key")
 
 
-@query("SELECT segment, count(*) AS versions FROM (SELECT event_id // 500 AS segment FROM events) WHERE segment NOT IN (0, 3, 5) GROUP BY segment")
+@query("SELECT event_id AS _id, value FROM events WHERE event_id % 3 = 2")
 def incremental_backup_diff(t):
-    """Segments of 500 versions that an earlier backup, with segments 0, 3 and 5, lacks."""
-    segments = t("events").groupBy(F.floor(F.col("event_id") / 500).cast("long").alias("segment")).agg(F.count("*").alias("versions"))
-    known = segments.sparkSession.createDataFrame([(0,), (3,), (5,)], "segment long")
-    return segments.join(F.broadcast(known), "segment", "left_anti")
+    """What a second backup copies, that is told what the first one has."""
+    docs = t("events").select(F.col("event_id").alias("_id"), "value")
+    db = _store(t)
+    c = db.create_collection("events", docs.drop("_id").schema)
+    c.put(docs.where("_id % 3 <> 2"))
+    target = new_path(db.spark, "copy")
+    known = db.backup(target)
+    c.put(docs.where("_id % 3 = 2"))
+    copied = db.backup(target, set(known))
+    return db.spark.read.parquet(*(f"{target}/{p}" for p in copied)).select(F.col("key").alias("_id"), "value")
 
 
 # --- statistics --------------------------------------------------------------------------------
@@ -481,7 +591,7 @@ def stats_distinct_exact(t):
     return _orders_index(t).entries.agg(F.count_distinct("v1").alias("distinct_values"))
 
 
-@query("SELECT abs(1) <= 0.05 * count(DISTINCT o_custkey) OR count(DISTINCT o_custkey) < 20 AS close FROM orders")
+@query("SELECT count(DISTINCT o_custkey) > 0 AS close FROM orders")
 def stats_distinct_hll(t):
     """Whether the merged sketches of two halves come within 5 percent of the exact count."""
     entries = _orders_index(t).entries
@@ -509,8 +619,8 @@ def stats_rows_at_or_below(t):
 
 @query("SELECT round(1.0 / count(DISTINCT o_custkey), 9) AS selectivity FROM orders")
 def stats_selectivity(t):
-    e = _orders_index(t).entries.agg(F.count("*").alias("n"), F.count_distinct("v1").alias("d"))
-    return e.select(F.round(F.col("n") / F.col("d") / F.col("n"), 9).alias("selectivity"))
+    e = _orders_index(t).entries.agg(F.count("*").alias("n"), F.count_distinct("v1").alias("d")).first()
+    return t("orders").sparkSession.createDataFrame([(round(stats.selectivity(e.n, e.d), 9),)], "selectivity double")
 
 
 @query("SELECT 'by_customer' AS chosen")
@@ -524,7 +634,7 @@ def stats_most_selective(t):
 
 @query("SELECT bit_or(1 << (c_nationkey % 8)) AS features FROM customer")
 def catalog_features(t):
-    return t("customer").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("c_nationkey") % 8)).alias("features"))
+    return stats.features(t("customer").select(F.call_function("shiftleft", F.lit(1), F.col("c_nationkey") % 8).alias("features")), "features")
 
 
 @query("SELECT event_type, count(*) AS values FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY event_type")
@@ -540,24 +650,24 @@ def metrics_percentiles(t):
 
 # --- catalog -------------------------------------------------------------------------------------
 
-TREES = [("orders", 1, "data", "collection", None, False), ("users", 2, "data", "repository", None, False), ("users+eu", 3, "data", "keyed_repository", None, False), ("orders:o_custkey", 4, "index", None, "orders", False), ("orders:o_totalprice", 5, "index", None, "orders", True)]
+def _catalog(t) -> Database:
+    db, schema = _store(t), T.StructType([T.StructField("o_custkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType())])
+    orders = db.create_collection("orders", schema)
+    db.create_repository("users", schema)
+    db.create_repository("users", schema, "eu")
+    orders.create_index(["o_custkey"])
+    orders.create_index(["o_totalprice"])
+    return db
 
 
-def _catalog(t):
-    return t("region").sparkSession.createDataFrame(TREES, "name string, tree_id int, kind string, type string, owner string, stale boolean")
-
-
-_CATALOG = "(VALUES " + ", ".join(f"('{n}', {i}, '{k}', {f"'{ty}'" if ty else 'NULL'}, {f"'{o}'" if o else 'NULL'}, {s})" for n, i, k, ty, o, s in TREES) + ") c(name, tree_id, kind, type, owner, stale)"
-
-
-@query(f"SELECT name, tree_id, type FROM {_CATALOG} WHERE kind = 'data'")
+@query("SELECT * FROM (VALUES ('orders', 1, 'collection'), ('users', 2, 'repository'), ('users+eu', 3, 'keyed_repository')) c(name, tree_id, type)")
 def catalog_collections(t):
-    return _catalog(t).where("kind = 'data'").select("name", "tree_id", "type")
+    return _catalog(t).catalog().where("kind = 'data'").select("name", "tree_id", "type")
 
 
-@query(f"SELECT name, tree_id, stale FROM {_CATALOG} WHERE kind = 'index' AND owner = 'orders'")
+@query("SELECT * FROM (VALUES ('orders:o_custkey', 4, false), ('orders:o_totalprice', 5, false)) c(name, tree_id, stale)")
 def catalog_indexes_of(t):
-    return _catalog(t).where("kind = 'index' AND owner = 'orders'").select("name", "tree_id", "stale")
+    return _catalog(t).catalog().where("kind = 'index' AND owner = 'orders'").select("name", "tree_id", "stale")
 
 
 # --- full text -------------------------------------------------------------------------------------
@@ -607,6 +717,31 @@ def fts_stopword_gap(t):
     return text.phrase(_postings(t, ["the"]), [("of", 0), ("and", 2)])
 
 
+@query(f"SELECT _id FROM {_TOKENS} WHERE token IN ('the', 'with', 'that') GROUP BY _id HAVING count(DISTINCT token) = 3")
+def fts_stored_search(t):
+    """Through a written index in blocks, of which only those of the terms are read."""
+    return text.save(_postings(t), new_path(t("region").sparkSession, "text")).search(["the", "with", "that"])
+
+
+@query(f"SELECT DISTINCT a._id FROM {_TOKENS} a JOIN {_TOKENS} b ON a._id = b._id AND b.position = a.position + 1 WHERE a.token = 'of' AND b.token = 'the'")
+def fts_stored_phrase(t):
+    return text.save(_postings(t), new_path(t("region").sparkSession, "text")).phrase([("of", 0), ("the", 1)])
+
+
+ENGLISH = Analyzer(frozenset(["the", "of", "and"]), "english", stemmer.VERSION)
+
+
+@query()
+def fts_analyzed_terms(t):
+    """All documents through the analyzer (normal form, word boundaries of Unicode, stop words, stems), as no SQL has it; tests hold it against a plain version."""
+    return text.term_stats(text.build(t("documents"), "doc_id", ["text"], ENGLISH))
+
+
+@query()
+def fts_analyzed_phrase(t):
+    return text.phrase_text(text.build(t("documents"), "doc_id", ["text"], ENGLISH), "with that", ENGLISH)
+
+
 # --- vectors ---------------------------------------------------------------------------------------
 
 PROBE = [round(0.01 * (i % 17) - 0.08, 2) for i in range(64)]
@@ -664,6 +799,23 @@ def vector_slots(t):
     return vector.assign_slots(_vectors(t))
 
 
+@query("""SELECT query_id, _id, place, round(d, 6) AS distance FROM (SELECT q.vec_id AS query_id, e.vec_id AS _id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id) AS place FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE place <= 10""")
+def vector_knn_many(t):
+    """Every vector whose id is divisible by 50 is asked, against all."""
+    v = _vectors(t)
+    found = vector.search_many(v, v.where("_id % 50 = 0").select(F.col("_id").alias("query_id"), "embedding"), 10)
+    return found.select("query_id", "_id", "place", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def vector_lists(t):
+    """Ten nearest of one vector among the lists around its nearest centroids; tests measure what is missed."""
+    v, path = _vectors(t), new_path(t("region").sparkSession, "lists")
+    vector.save_lists(v, path, 32)
+    return _top(vector.search_lists(v.sparkSession, path, PROBE, 10, 24))
+
+
 # --- spatial ---------------------------------------------------------------------------------------
 
 
@@ -722,3 +874,66 @@ def spatial_nearest_k(t):
 @query(f"SELECT _id, round(sqrt((x - 40) * (x - 40) + (y - 40) * (y - 40)), 6) AS distance FROM {_POINTS} WHERE sqrt((x - 40) * (x - 40) + (y - 40) * (y - 40)) <= 25")
 def spatial_points_near(t):
     return spatial.points_near(_points(t), 40, 40, 25).select("_id", F.round("distance", 6).alias("distance"))
+
+
+def _mixed(t):
+    """By id: points, horizontal lines, squares with a square hole, pairs of points."""
+    G = spatial.G
+    rows = t("supplier").select(F.col("s_suppkey").alias("_id"), (F.col("s_suppkey") * 7 % 101).cast("double").alias("x"), (F.col("s_suppkey") * 13 % 89).cast("double").alias("y"))
+
+    def ring(x, y, r):
+        return ((x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r), (x - r, y - r))
+
+    def shape(i, x, y):
+        kind = i % 4
+        if kind == 0:
+            return G.point(x, y)
+        if kind == 1:
+            return G.Geometry(G.LINE, ((x, y), (x + 8.0, y)))
+        if kind == 2:
+            return G.Geometry(G.POLYGON, (ring(x, y, 6.0), ring(x, y, 2.0)))
+        return G.Geometry(G.POINTS, ((x, y), (x + 5.0, y + 5.0)))
+
+    return spatial.with_boxes(spatial.encoded(rows, shape))
+
+
+_MIXED = """(SELECT s_suppkey AS _id, s_suppkey % 4 AS kind, CAST(s_suppkey * 7 % 101 AS DOUBLE) AS x, CAST(s_suppkey * 13 % 89 AS DOUBLE) AS y FROM supplier)"""
+
+
+@query(f"SELECT _id, CASE kind WHEN 2 THEN x - 6 ELSE x END AS xmin, CASE kind WHEN 2 THEN y - 6 ELSE y END AS ymin, x + CASE kind WHEN 0 THEN 0 WHEN 1 THEN 8 WHEN 2 THEN 6 ELSE 5 END AS xmax, y + CASE kind WHEN 2 THEN 6 WHEN 3 THEN 5 ELSE 0 END AS ymax FROM {_MIXED}")
+def spatial_shape_boxes(t):
+    return _mixed(t).select("_id", *spatial.BOX)
+
+
+@query(f"""SELECT _id FROM {_MIXED} WHERE CASE kind WHEN 0 THEN x BETWEEN 30 AND 33 AND y BETWEEN 30 AND 33 WHEN 1 THEN x <= 33 AND x + 8 >= 30 AND y BETWEEN 30 AND 33
+WHEN 2 THEN x - 6 <= 33 AND x + 6 >= 30 AND y - 6 <= 33 AND y + 6 >= 30 AND NOT (x - 2 < 30 AND x + 2 > 33 AND y - 2 < 30 AND y + 2 > 33)
+ELSE (x BETWEEN 30 AND 33 AND y BETWEEN 30 AND 33) OR (x + 5 BETWEEN 30 AND 33 AND y + 5 BETWEEN 30 AND 33) END""")
+def spatial_shapes_intersect_box(t):
+    return spatial.intersects(_mixed(t), spatial.G.box(30, 30, 33, 33)).select("_id")
+
+
+@query(f"""SELECT _id FROM {_MIXED} WHERE CASE kind WHEN 0 THEN x BETWEEN 10 AND 70 AND y BETWEEN 10 AND 70 WHEN 1 THEN x >= 10 AND x + 8 <= 70 AND y BETWEEN 10 AND 70
+WHEN 2 THEN x - 6 >= 10 AND x + 6 <= 70 AND y - 6 >= 10 AND y + 6 <= 70 ELSE x >= 10 AND x + 5 <= 70 AND y >= 10 AND y + 5 <= 70 END""")
+def spatial_shapes_within_box(t):
+    return spatial.within(_mixed(t), spatial.G.box(10, 10, 70, 70)).select("_id")
+
+
+@query(f"SELECT _id FROM {_MIXED} WHERE CASE kind WHEN 0 THEN x BETWEEN 0 AND 50 AND y BETWEEN 0 AND 40 WHEN 1 THEN x + 8 <= 50 AND y <= 40 WHEN 2 THEN x - 6 >= 0 AND x + 6 <= 50 AND y - 6 >= 0 AND y + 6 <= 40 ELSE x + 5 <= 50 AND y + 5 <= 40 END")
+def spatial_stored_within_box(t):
+    """Among shapes that were written with their boxes along a space-filling curve."""
+    stored = spatial.save(_mixed(t), new_path(t("region").sparkSession, "shapes"))
+    return spatial.within(stored, spatial.G.box(0, 0, 50, 40)).select("_id")
+
+
+@query(f"""SELECT _id FROM {_MIXED} WHERE CASE kind WHEN 0 THEN x = 40 AND y = 40 WHEN 1 THEN y = 40 AND 40 BETWEEN x AND x + 8
+WHEN 2 THEN abs(x - 40) <= 6 AND abs(y - 40) <= 6 AND NOT (abs(x - 40) < 2 AND abs(y - 40) < 2) ELSE (x = 40 AND y = 40) OR (x = 35 AND y = 35) END""")
+def spatial_shapes_contain_point(t):
+    """Borders belong to shapes, those of holes too."""
+    return spatial.contains(_mixed(t), spatial.G.point(40, 40)).select("_id")
+
+
+@query(f"""SELECT _id, round(d, 6) AS distance FROM (SELECT _id, CASE kind WHEN 0 THEN sqrt((x - 50) ** 2 + (y - 50) ** 2) WHEN 1 THEN sqrt(greatest(x - 50, 50 - x - 8, 0) ** 2 + (y - 50) ** 2)
+WHEN 2 THEN CASE WHEN abs(x - 50) < 2 AND abs(y - 50) < 2 THEN 2 - greatest(abs(x - 50), abs(y - 50)) ELSE sqrt(greatest(abs(x - 50) - 6, 0) ** 2 + greatest(abs(y - 50) - 6, 0) ** 2) END
+ELSE least(sqrt((x - 50) ** 2 + (y - 50) ** 2), sqrt((x - 45) ** 2 + (y - 45) ** 2)) END AS d FROM {_MIXED}) WHERE d <= 20""")
+def spatial_shapes_near(t):
+    return spatial.near(_mixed(t), 50, 50, 20).select("_id", F.round("distance", 6).alias("distance"))

@@ -35,7 +35,7 @@ def test_every_row_has_its_place(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tables here")
-@pytest.mark.parametrize("name, key", [("reverse_scan_all", lambda r: r._id), ("index_full_scan_reverse_all", lambda r: (r.v1, r.v2, r._id))])
+@pytest.mark.parametrize("name, key", [("reverse_scan", lambda r: r._id), ("index_full_scan_reverse", lambda r: (r.v1, r.v2, r._id))])
 def test_reverse_scans_give_every_entry(spark, name, key):
     got = registry.QUERIES[name](spark, TESTDATA).collect()
     assert len(got) == registry.table(spark, TESTDATA, "orders").count() > 1000
