@@ -12,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..work import free
+
+__all__ = ["annotate", "free", "lists", "ready", "refuse_clash"]
+
 _ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -30,17 +34,6 @@ def ready(spark: SparkSession) -> None:
         sc.addPyFile(str(target))
 
 
-def free(columns: list[str], *names: str) -> list[str]:
-    """The names, with an underscore more in front while a column is called so."""
-    taken, out = {x.lower() for x in columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def refuse_clash(columns: list[str], new: list[str]) -> None:
     if clash := {x.lower() for x in columns} & {x.lower() for x in new}:
         raise ValueError(f"columns {sorted(clash)} are there already; rename them or leave them out of keep")

@@ -1,50 +1,24 @@
-"""Written tables in the folder that driver and executors share."""
+"""Written tables in the folder that driver and executors share, with small batches for Python."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-_FOLDER = "lodestone-work"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    Where it is unset and Spark runs in one JVM (tests), a temporary folder is made and
-    set; where it is unset on a cluster this raises, as no local folder is visible to all.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base:  # Spark's default file system, said in full for readers other than Spark
-        path = spark._jvm.org.apache.hadoop.fs.Path(base)
-        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        base = re.sub("^file:/(?!/)", "file:///", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{_FOLDER}/{name}-{uuid.uuid4().hex}"
+from ..work import discard, new_path, release, scratch, shared_dir
 
+__all__ = ["discard", "materialize", "new_path", "release", "scratch", "shared_dir"]
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 MOST_RECORDS = 2000
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors.
 
     While it is written, Python gets at most MOST_RECORDS rows at once, as rows hold whole texts.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(min(int(before), MOST_RECORDS) if int(before) > 0 else MOST_RECORDS))
     try:
@@ -52,18 +26,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes a written table that nothing will read again."""
-    spark = table.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if f"/{_FOLDER}/" in file:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes all work tables in the shared folder; call it when no returned DataFrame is needed any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_FOLDER}")
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
