@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import classify, decontaminate, linededup, packing, setjoin
-from lodestone.llm.store import materialize
+from lodestone.llm.store import materialize, new_path, scratch
+from lodestone.work import delete
 
 #: Documents with a lower probability of good quality go.
 LEAST_QUALITY = 0.5
@@ -51,7 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Work tables of a stage, and the rows of the stage before it, are deleted when its rows are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return docs
