@@ -361,7 +361,7 @@ def labels(page: Page) -> list[int]:
     return out
 
 
-def train(sources: list[str], epochs: int = 6, rate: float = 0.4, decay: float = 2e-4) -> Model:
+def train(sources: list[str], epochs: int = 5, rate: float = 0.4, decay: float = 2e-4) -> Model:
     """From pages whose elements are marked with data-main: own potentials and ties together, by the gradient of the labels'
     likelihood (what is seen less what the marginals expect), page by page with a step that shrinks for each weight as it moves."""
     number: dict = {}

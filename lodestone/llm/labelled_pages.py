@@ -12,7 +12,7 @@ import random
 
 #: Names that page authors commonly give to the parts of a page.
 MAIN = ["article", "content", "post", "entry", "main", "story", "text", "body"]
-FURNITURE = ["ad", "ads", "advert", "banner", "sponsor", "promo", "menu", "navbar", "nav", "breadcrumb", "share", "social", "sidebar", "widget", "related", "newsletter", "subscribe", "cookie", "consent", "notice", "popup", "comments", "comment", "header", "footer", "copyright", "login", "search", "pagination", "tags", "toc", "infobox"]
+FURNITURE = ["ad", "ads", "advert", "banner", "sponsor", "promo", "menu", "navbar", "nav", "breadcrumb", "share", "social", "sidebar", "widget", "related", "newsletter", "subscribe", "cookie", "consent", "notice", "popup", "comments", "comment", "header", "footer", "copyright", "login", "search", "pagination", "tags", "toc", "infobox", "advertisement", "sponsored", "breadcrumbs", "sharing", "follow", "toolbar", "masthead", "disclaimer", "legal", "feedback", "respond", "replies", "discussion", "cookies", "signup"]
 EMBEDDED = ["object", "video", "audio", "canvas", "iframe", "noscript", "template"]
 _LETTERS = ["aeiourstlnmdkp", "eainrsthdlucg", "oaeisnrldtcm", "éaoueinrstlmdp", "äeiünrstchgbk"]
 
@@ -57,9 +57,9 @@ class Writer:
     def rights(self) -> str:
         return self.r.choice(["&copy; ", "&#169; ", "© ", "Copyright "]) + self.r.choice(["", "2019 ", "2024 "]) + self.r.choice([self.words(1, 4), f"{self.words(1, 3)} &middot; {self.sentences(1, 3)}", f'{self.words(1, 2)} <a href="/p">{self.words(1, 2)}</a>'])
 
-    def furniture(self, names: bool = True) -> str:
-        """With names, elements may be called what they are; without, only their kind and text tell."""
-        kind = self.r.random()
+    def furniture(self, names: bool = True, inside: bool = False) -> str:
+        """With names, elements may be called what they are; without, only their kind and text tell. Inside of a text no page's header stands."""
+        kind = self.r.uniform(0.28, 1) if inside else self.r.random()
         if kind < 0.2:
             return f'<nav data-main="0">{self.links()}</nav>'
         if kind < 0.28:
@@ -72,7 +72,8 @@ class Writer:
             return f'<aside data-main="0">{self.r.choice([self.links(), f"<h3>{self.words(1, 3)}</h3>{self.links()}", f"<p>{self.sentences(1, 3)}</p>"])}</aside>'
         if not names or kind < 0.68:
             how = self.r.choice(["", f' class="{self.name()}"'])
-            return f'<div data-main="0"{how}>{self.links(3)}</div>'
+            head = self.r.choice(["", f"<h3>{self.words(1, 3)}</h3>", f"<h4>{self.words(1, 3)}</h4>", f"<b>{self.words(1, 2)}</b>"])
+            return f'<div data-main="0"{how}>{head}{self.links(3)}</div>'
         inner = self.r.choice([self.sentences(1, 4), self.words(1, 6), f"<p>{self.sentences(1, 4)}</p>", f"<p>{self.sentences(1, 4)}</p><p>{self.sentences(1, 4)}</p>", f"<h3>{self.words(1, 4)}</h3>{self.links()}", f'<div class="author">{self.words(1, 2)}</div><p>{self.sentences(1, 4)}</p>', f"<span>{self.words(1, 6)}</span><button>{self.words(1, 2)}</button>", self.links()])
         tag = self.r.choice(["div", "div", "div", "section", "aside", "p"])
         return f'<{tag} data-main="0" {self.named(FURNITURE)}>{inner if tag != "p" else self.sentences(1, 2)}</{tag}>'
@@ -106,11 +107,14 @@ class Writer:
         if kind < 0.83:
             return f"<h{(n := self.r.randint(2, 4))}>{self.words(1, 9).capitalize()}</h{n}>"
         if kind < 0.88:
-            return "<ul>" + "".join(f"<li>{self.sentences(1, 2)}</li>" for _ in range(self.r.randint(1, 5))) + "</ul>"
+            link = lambda: f"<a href='/x'>{self.words(1, 3)}</a> {self.words(1, 3)} " if self.r.random() < 0.5 else ""
+            linked, tag = self.r.random() < 0.4, self.r.choice(["ul", "ul", "ol"])
+            return f"<{tag}>" + "".join(f"<li>{link() if linked else ''}{self.sentences(1, 2)}</li>" for _ in range(self.r.randint(1, 8))) + f"</{tag}>"
         if kind < 0.91:
             return f"<blockquote><p>{self.sentences(1, 3)}</p></blockquote>"
         if kind < 0.94:
-            return "<table>" + "".join(f"<tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr>" for _ in range(self.r.randint(1, 4))) + "</table>"
+            head = f"<tr><th>{self.words(1, 2)}</th><th>{self.words(1, 2)}</th></tr>" * (self.r.random() < 0.6)
+            return f"<table>{head}" + "".join(f"<tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr>" for _ in range(self.r.randint(1, 4))) + "</table>"
         if kind < 0.96:
             return f"<p>{self.words(1, 6)} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> {self.sentences(1, 2)}</p>"
         if kind < 0.97:
@@ -120,10 +124,12 @@ class Writer:
         return f"<figure><img src='a.png'><figcaption>{self.sentences(1, 1)}</figcaption></figure>"
 
     def blocks(self, inside: bool = True) -> list[str]:
+        if self.r.random() < 0.06:
+            return [self.r.choice([self.words(1, 8).capitalize(), self.sentences(1, 3), f"<p>{self.words(1, 6).capitalize()}</p>", f"<h1>{self.words(1, 5).capitalize()}</h1>"])]
         out = [f"<h1>{self.words(2, 12).capitalize()}</h1>"] * (self.r.random() < 0.85)
         out += [self.paragraph()] + [self.block() for _ in range(self.r.choice([0, 1, 2, 3, 5, 8, 12, 20]))]
         for _ in range(self.r.choice([0, 0, 0, 1, 2]) if inside else 0):
-            out.insert(self.r.randint(1, len(out)), self.furniture() if self.r.random() < 0.5 else self.embedded())
+            out.insert(self.r.randint(1, len(out)), self.furniture(inside=True) if self.r.random() < 0.5 else self.embedded())
         return out
 
     def around(self, main: str, names: bool = True, most: int = 4) -> str:
@@ -132,8 +138,12 @@ class Writer:
 
 
 def _semantic(w: Writer) -> str:
-    tag = w.r.choice(["article", "article", "main"])
-    return w.around(f'<{tag} data-main="1"{w.r.choice(["", "", " " + w.named(MAIN)])}>{"".join(w.blocks())}</{tag}>')
+    tag, blocks = w.r.choice(["article", "article", "main"]), w.blocks()
+    if blocks[0].startswith("<h1") and w.r.random() < 0.2:  # a title's own header belongs to the text
+        blocks[0] = f'<header>{blocks[0]}{w.r.choice(["", f"""<p data-main="0" class="byline">{w.words(1, 4)}</p>"""])}</header>'
+    if w.r.random() < 0.15 and len(blocks) > 2:
+        blocks[1:] = [f'<div class="{w.r.choice(MAIN)}">{"".join(blocks[1:])}</div>']
+    return w.around(f'<{tag} data-main="1"{w.r.choice(["", "", " " + w.named(MAIN)])}>{"".join(blocks)}</{tag}>')
 
 
 def _named(w: Writer) -> str:
@@ -181,7 +191,7 @@ def _table(w: Writer) -> str:
 def _encyclopedia(w: Writer) -> str:
     """Text in a box within a box, with contents, a box of facts, links to edit and categories."""
     outer, inner = w.r.choice([("content", "bodyContent"), ("content", "mw-content-text"), ("bodyContent", "mw-content"), ("globalWrapper", "article-text")])
-    blocks = w.blocks(False)
+    blocks = [*w.blocks(False), w.paragraph()]
     head = blocks.pop(0) if blocks[0].startswith("<h1") else ""
     for _ in range(w.r.randint(0, 2)):
         blocks.insert(w.r.randint(0, len(blocks)), w.r.choice([f'<div data-main="0" id="toc" class="toc"><h2>{w.words(1, 1)}</h2>{w.links(3)}</div>', f'<table data-main="0" class="infobox"><tr><th>{w.words(1, 2)}</th><td>{w.words(1, 3)}</td></tr><tr><th>{w.words(1, 2)}</th><td>{w.words(1, 3)}</td></tr></table>']))
@@ -214,6 +224,6 @@ def page(family: str, seed: int) -> str:
     return f"<!DOCTYPE html><html><head>{head}</head><body{mark}>{body}" + "</body></html>" * (w.r.random() < 0.9)
 
 
-def pages(each: int = 60, families: list[str] | None = None, first: int = 0) -> list[str]:
+def pages(each: int = 200, families: list[str] | None = None, first: int = 0) -> list[str]:
     """`each` pages of each family, from number `first` on."""
     return [page(f, i) for i in range(first, first + each) for f in (families or FAMILIES)]
