@@ -7,10 +7,10 @@ brought together by those tokens, a block for each token that several classes ha
 sizes next to each other are too far apart; blocks with the same classes count once. The order puts frequent tokens last, by counts over the whole corpus, so that passages which many
 texts share rarely make blocks.
 
-In a block a signature tree does the join. Leaves are classes, each with a bitmap of its
-tokens (two bits a token or more) and its size; inner nodes hold the OR of their children's
-bitmaps and the range of their sizes. Two nodes are compared from the roots down (dual
-traversal) and a pair is left as soon as no pair below can reach the threshold: by their
+Signature trees do the join: of some LEAVES classes of many blocks at once, or of a large block's part. Leaves are
+classes in blocks, each with a bitmap of its tokens (two bits a token or more) and its size; inner nodes hold the OR of
+their children's bitmaps and the ranges of their sizes and blocks. Two nodes are compared from the roots down (dual
+traversal) and a pair is left as soon as no pair below can reach the threshold: by their blocks or
 sizes, or since no more tokens can be common than the bits both nodes have and the tokens
 beyond one a bit. Pairs that links already connect aren't looked at. Of the leaf pairs that the
 bound can't exclude, as few as connect all of them are decided by the exact intersection of
@@ -20,10 +20,11 @@ a token and with the tokens' upper 32 bits, which decide a leaf pair but for a c
 tokens are used). Only bitmaps, and tokens to the blocks traversed again, travel to the
 blocks; texts travel once for a link to be decided. No list of all pairs is ever made.
 
-Blocks of frequent tokens, or of over CELL classes, have no bound. There each class is first
-held against a pivot, the least class of the block, which connects large groups of near
+Tokens are counted before anything is gathered by them. Blocks of frequent tokens, or of over CELL classes, have no
+bound. There each class is first held against a pivot, the least class of the block, which connects large groups of near
 copies in one step; then only pairs of classes that aren't connected are left, and they are
-dealt to cells of about CELL classes at most, each a join of two trees in a task of its own.
+dealt to cells of about CELL classes at most, each a join of two trees in a task of its own. A block of N classes that
+nothing connects goes to some N / CELL cells a class: this work, not its memory, grows with the square of such a block.
 
 The result is links that connect what the threshold connects: components are exact, for any
 group size, and no group is expanded into all its pairs. Tokens and sets are told apart by
@@ -36,6 +37,7 @@ percent is from 1 to 99, anything else is an error; repeated rows are one class;
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +52,7 @@ from .store import discard, materialize
 from .words import NOT_SPACE, WordHasher, mix, shingles
 
 LEAST_BITS, FANOUT, CELL, PIVOTS = 128, 16, 512, 2
-NARROW, WIDE, SPREAD = 2, 8, 8
+NARROW, WIDE, LEAVES = 2, 8, 1024
 HOT, MOST_HOT, KEPT = 32, 1 << 16, 1 << 17
 MOST_SENT = 1 << 18
 MOST_SEEN = 1 << 20
@@ -136,31 +138,34 @@ def folded(bits: np.ndarray, times: int = 1) -> np.ndarray:
 
 
 class Tree:
-    """levels[0] are the leaves, in order of size; a node of a level covers FANOUT nodes of the one below."""
+    """levels[0] are the leaves, in order of block and size; a node of a level covers FANOUT nodes of the one below.
 
-    def __init__(self, names: list[int], sizes: np.ndarray, bits: np.ndarray):
-        order = np.lexsort((bits[:, 0], sizes))
+    Of each node: OR of the bitmaps, least and greatest size, most tokens beyond the bits, least and greatest block."""
+
+    def __init__(self, names: list, sizes: np.ndarray, bits: np.ndarray, blocks: np.ndarray):
+        order = np.lexsort((bits[:, 0], sizes, blocks))
         self.names = [names[i] for i in order.tolist()]
-        bits, sizes = bits[order], sizes[order]
+        bits, sizes, blocks = bits[order], sizes[order], blocks[order]
         spare = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)  # tokens that share a bit with another
-        self.levels = [(bits, sizes, sizes, spare)]
+        self.levels = [(bits, sizes, sizes, spare, blocks, blocks)]
         while len(self.levels[-1][0]) > 1:
-            bits, low, high, spare = self.levels[-1]
-            cuts = np.arange(0, len(bits), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(spare, cuts)))
+            below = self.levels[-1]
+            cuts = np.arange(0, len(below[0]), FANOUT)
+            self.levels.append(tuple(f.reduceat(x, cuts) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum), below)))
 
 
 def _possible(a: tuple, i: int, b: tuple, at: np.ndarray, percent: int) -> np.ndarray:
-    """Whether some pair below node i of level a and each node of level b can reach percent.
+    """Of the nodes `at` of level b, those below which some pair with node i of level a can reach percent.
 
     A pair of sizes x <= y can have at most as many tokens in common as x, and as the bits
     that both nodes have, and the tokens of one set beyond its bits."""
     low, high = int(a[1][i]), int(a[2][i])
+    at = at[(a[4][i] <= b[5][at]) & (a[5][i] >= b[4][at])]  # the same block
     blow, bhigh = b[1][at], b[2][at]
     most = np.bitwise_count(a[0][i] & b[0][at]).sum(axis=1, dtype=np.int64) + np.minimum(int(a[3][i]), b[3][at])
     sizes = (100 * high >= percent * blow) & (100 * bhigh >= percent * low)
     least = np.maximum(low, -(-percent * blow // 100)) + np.maximum(blow, -(-percent * low // 100))  # of both sizes together
-    return sizes & ((100 + percent) * most >= percent * least)
+    return at[sizes & ((100 + percent) * most >= percent * least)]
 
 
 def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -195,14 +200,15 @@ class Groups:
 
 
 class Leaves:
-    """What is known of the leaves: groups, and where sets are given, which pairs were held against each other."""
+    """What is known of the leaves: groups, and where sets are given, which pairs were held against each other. asked, left: of each level, node pairs looked at and gone on with."""
 
     def __init__(self, percent: int):
         self.groups, self.percent = Groups(), percent
-        self.sets: dict[int, np.ndarray] = {}
-        self.apart: set[tuple[int, int]] = set()
+        self.sets: dict = {}
+        self.apart: set[tuple] = set()
+        self.asked, self.left = Counter(), Counter()
 
-    def meet(self, x: int, y: int) -> None:
+    def meet(self, x, y) -> None:
         if x == y or self.groups.root(x) == self.groups.root(y):
             return
         pair = (min(x, y), max(x, y))
@@ -217,12 +223,14 @@ class Leaves:
 
 
 def dual_traversal(a: Tree, b: Tree, leaves: Leaves) -> None:
-    """Lets each leaf of a meet each leaf of b that the bound can't exclude; a may be b."""
+    """Lets each leaf of a meet each leaf of b of its block that the bound can't exclude; a may be b."""
     same, percent = a is b, leaves.percent
     stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, np.zeros(1, np.int64))]
     while stack:
         la, i, lb, at = stack.pop()
-        at = at[_possible(a.levels[la], i, b.levels[lb], at, percent)]
+        leaves.asked[la] += len(at)
+        at = _possible(a.levels[la], i, b.levels[lb], at, percent)
+        leaves.left[la] += len(at)
         if not len(at):
             continue
         if la == 0 and lb == 0:
@@ -232,21 +240,26 @@ def dual_traversal(a: Tree, b: Tree, leaves: Leaves) -> None:
         elif lb >= la:
             below = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             below = below[below < len(b.levels[lb - 1][0])]
-            if same and la == lb - 1 == 0:
-                below = below[below > i]
             if len(below):
                 stack.append((la, i, lb - 1, below))
         else:
             for k in range(i * FANOUT, min((i + 1) * FANOUT, len(a.levels[la - 1][0]))):
-                stack.append((la - 1, k, lb, at))
+                first = at[at >= k] if same and lb == la - 1 else at  # of two nodes of a level, the first one looks at the other
+                if len(first):
+                    stack.append((la - 1, k, lb, first))
+
+
+#: A leaf: block, name, size, bitmap, group or None (leaves of a group are connected already; a group is named as its least leaf).
+Leaf = tuple[int, object, int, bytes, object]
 
 
-def _by_width(side: dict[int, tuple[int, bytes, int | None]]) -> dict[int, tuple[list, np.ndarray, np.ndarray]]:
-    """Names, sizes and bitmaps of each width."""
+def _by_width(side: list[Leaf]) -> dict[int, tuple]:
+    """Names, sizes, bitmaps and blocks of each width."""
     out: dict[int, list] = {}
-    for name, (n, bits, _) in side.items():
-        out.setdefault(len(bits) * 8, []).append((name, n, bits))
-    return {w: ([x[0] for x in rows], np.array([x[1] for x in rows], np.int64), np.frombuffer(b"".join(x[2] for x in rows), np.uint64).reshape(len(rows), -1)) for w, rows in out.items()}
+    for leaf in side:
+        out.setdefault(len(leaf[3]) * 8, []).append(leaf)
+    numbers = {block: i for i, block in enumerate(dict.fromkeys(x[0] for x in side))}
+    return {w: ([x[1] for x in rows], np.array([x[2] for x in rows], np.int64), np.frombuffer(b"".join(x[3] for x in rows), np.uint64).reshape(len(rows), -1), np.array([numbers[x[0]] for x in rows], np.int64)) for w, rows in out.items()}
 
 
 def width_steps(percent: int) -> int:
@@ -257,13 +270,13 @@ def width_steps(percent: int) -> int:
     return steps
 
 
-def tree_pairs(left: dict, right: dict | None, leaves: Leaves) -> None:
-    """Lets leaves meet among left, or between left and right: name -> (size, bitmap, group or None); a group is connected already.
+def tree_pairs(left: list[Leaf], right: list[Leaf] | None, leaves: Leaves) -> None:
+    """Lets leaves of one block meet among left, or (of one block alone) between left and right.
 
     Sets of one width have a tree. Sets that can reach each other differ by one width at most from 50 percent on, and
     by one more each time that this is halved."""
-    for side in (left, right or {}):
-        for name, (_, _, group) in side.items():
+    for side in (left, right or []):
+        for _, name, _, _, group in side:
             if group is not None and group != name:
                 leaves.groups.join(group, name)
     a = _by_width(left)
@@ -275,11 +288,11 @@ def tree_pairs(left: dict, right: dict | None, leaves: Leaves) -> None:
             dual_traversal(tree, others[w], leaves)
         for step in range(1, width_steps(leaves.percent) + 1):
             if w << step in b:
-                names, sizes, bits = b[w << step]
-                dual_traversal(tree, Tree(names, sizes, folded(bits, step)), leaves)
+                names, sizes, bits, blocks = b[w << step]
+                dual_traversal(tree, Tree(names, sizes, folded(bits, step), blocks), leaves)
             if right is not None and w >> step in b:
-                names, sizes, bits = a[w]
-                dual_traversal(Tree(names, sizes, folded(bits, step)), others[w >> step], leaves)
+                names, sizes, bits, blocks = a[w]
+                dual_traversal(Tree(names, sizes, folded(bits, step), blocks), others[w >> step], leaves)
 
 
 # --- the join ------------------------------------------------------------------------------
@@ -348,16 +361,34 @@ def _candidates(cells: DataFrame, classes: DataFrame, percent: int, size: int =
     rows = rows.select("lead", "cell", "side", "cls", "grp", "n", "bits").repartition("lead").sortWithinPartitions(F.col("lead"), F.col("cell").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides, out, leaves, told, known = (None, None), ({}, {}), [], Leaves(percent), 0, {}
+        # Blocks that are joined with themselves wait until a tree of LEAVES of them is worth its while. Without sets, what is found of a block
+        # holds for this block alone, so its leaves are named by block and class; with sets, blocks of a lead share it.
+        now, sides, waiting, out, leaves, known = (None, None), ([], []), [], [], Leaves(percent), {}
+
+        def found():
+            for x, y in leaves.groups.links:
+                out.append((x[0], x[1], y[1]) if not size else (now[1], x, y))
+            leaves.groups.links.clear()
+
+        def flush():
+            nonlocal leaves
+            if waiting:
+                tree_pairs(waiting, None, leaves)
+                waiting.clear()
+                found()
+            leaves = leaves if size else Leaves(percent)
 
         def close():
-            nonlocal told
             left, right = sides
-            if left and (right or len(left) > 1):
-                tree_pairs(left, right or None, leaves)
-                links = leaves.groups.links
-                out.extend((now[1], *pair) for pair in links[told:])
-                told = len(links)
+            if right:
+                flush()
+                if left:
+                    tree_pairs(left, right, leaves)
+                    found()
+            elif len(left) > 1:
+                waiting.extend(left)
+                if size or len(waiting) >= LEAVES:
+                    flush()
 
         def made():
             batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["cell", "a", "b"])
@@ -368,18 +399,21 @@ def _candidates(cells: DataFrame, classes: DataFrame, percent: int, size: int =
             for lead, cell, side, cls, grp, n, bits in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if (lead, cell) != now:
                     close()
-                    if lead != now[0]:
-                        leaves, told = Leaves(percent), 0
+                    if size and lead != now[0]:
+                        leaves = Leaves(percent)
                         known.clear()
-                    now, sides = (lead, cell), ({}, {})
+                    now, sides = (lead, cell), ([], [])
                 if size and cell is None:
                     leaves.sets[cls] = tokens = np.frombuffer(bits, f"<u{size}")
                     known[cls] = (n, bitmap(tokens, WIDE))
+                elif size:
+                    sides[side].append((cell, cls, *known[cls], grp))
                 else:
-                    sides[side][cls] = (*(known[cls] if size else (n, bits)), grp)
+                    sides[side].append((cell, (cell, cls), n, bits, None if grp is None else (cell, grp)))
             if out:
                 yield made()
         close()
+        flush()
         if out:
             yield made()
 
@@ -425,9 +459,12 @@ def _links(cells: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
             break
         if size == 4:
             again = materialize(asked.join(wrong, ["a", "b"], "left_semi").select("cell").distinct(), "again")
-            cells = cells.join(again, "cell", "left_semi")
+            cells = cells.join(again.hint("shuffle_hash"), "cell", "left_semi")  # dealt by cell, not read by map outputs
         left = cells.join(components(links), F.col("cls") == F.col("node"), "left").select("cell", "side", "cls", F.coalesce("root", "grp").alias("grp"))
-        lead = cells.groupBy("cell").agg(F.xxhash64(F.min("cls"), F.max("cls"), F.pmod("cell", F.lit(SPREAD))).alias("lead"))
+        # Blocks with the same least and greatest class share a task and what it finds, as long as there are no more than LEAVES rows of them.
+        family = cells.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n"))
+        spread = family.groupBy("low", "high").agg(F.ceil(F.sum("n") / LEAVES).alias("spread"))
+        lead = family.join(spread, ["low", "high"]).select("cell", F.xxhash64("low", "high", F.pmod("cell", "spread")).alias("lead"))
         cells = materialize(left.join(lead, "cell"), "left")
         tokens = _tokens(_texts(docs, doc_id, text, cells.select("cls").distinct(), classes), k, size)
         asked = materialize(_candidates(cells, tokens, percent, size), "asked-again")
@@ -493,19 +530,21 @@ def _joined(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> tu
 
     # Blocks of rare tokens: few classes each, gathered by token.
     at_most = F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}")  # places of the smaller set's first common token
-    pairs = classes.select("cls", "n", F.posexplode("first").alias("place", "token")).select("token", "cls", "n", (F.col("place") <= at_most).alias("early")).repartition("token")
+    # Tokens are counted first, a row a token and task, so that a token of many classes goes another way before anything is gathered by it.
+    counts = classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    many = materialize(counts.where(F.col("n") > CELL).select("token"), "large-tokens")
+    every = classes.select("cls", "n", F.posexplode("first").alias("place", "token")).select("token", "cls", "n", (F.col("place") <= at_most).alias("early"))
+    pairs = every.join(many, "token", "left_anti").repartition("token")
     order = Window.partitionBy("token").orderBy("n", "cls")
     near = lambda less, more: F.coalesce(100 * less >= percent * more, F.lit(False))
     seen = pairs.withColumns({
-        "many": F.count("*").over(Window.partitionBy("token")),
         "before": F.lag("n").over(order),
         "after": F.lead("n").over(order),
         "early_n": F.max(F.when(F.col("early"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)),
     }).withColumn("run", F.sum(F.when(near(F.col("before"), F.col("n")), 0).otherwise(1)).over(order))
     partnered = near(F.col("early_n"), F.col("n")) | (F.col("early") & near(F.col("n"), F.col("after")))
-    shared = materialize(seen.where(F.col("many") > 1).where(partnered).select("token", "cls", "n", "many", F.xxhash64("token", "run").alias("cell")), "shared")
-    large = shared.where(F.col("many") > CELL).select("token", "cls", "n")
-    small = shared.where(F.col("many") <= CELL).select("cell", "cls")
+    small = materialize(seen.where(partnered).select(F.xxhash64("token", "run").alias("cell"), "cls"), "shared")
+    large = every.join(many, "token", "left_semi").select("token", "cls", "n")
     small = small.join(_same_blocks_once(small, "cell"), "cell", "left_semi")
     small = small.select(F.xxhash64(F.lit("small"), "cell").alias("cell"), F.lit(0).alias("side"), "cls", F.lit(None).cast("long").alias("grp"))
 
