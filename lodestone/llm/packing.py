@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .arrow import lists, ready
 from .store import materialize
-from .tokens import END_ID, Encoder, vocabulary_path
+from .tokens import END_ID, shared_encoder, vocabulary_path
 
 LONGEST = 4096
 IDS_PER_BATCH = 1 << 20
@@ -50,7 +50,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", longest: i
         schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, places = Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, task, places = shared_encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             at, held = [], 0

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .arrow import ready
 from .store import materialize, new_path
-from .tokens import END_ID, Encoder, vocabulary_path
+from .tokens import END_ID, shared_encoder, vocabulary_path
 
 MAGIC = b"LSSTBL01"
 VERSION = 2
@@ -219,7 +219,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        encoder, part, number = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, number = shared_encoder(path), TaskContext.get().partitionId(), 0
         writer = first = last = None
         out = []
 

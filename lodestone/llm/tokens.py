@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,18 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+@cache
+def shared_encoder(path: str) -> Encoder:
+    """One for all tasks that a Python worker runs, as they meet the same words."""
+    return Encoder(path)
+
+
 class Encoder(dict):
-    """encode(text) gives the ids of a text as little-endian unsigned 32-bit integers. most: words kept at once."""
+    """encode(text) gives the ids of a text as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, most: int = 350_000):
+    Words are kept in two generations of at most `most`: a full one becomes the old one, and what is asked for again moves on."""
+
+    def __init__(self, path: str, most: int = 180_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,33 +65,35 @@ class Encoder(dict):
         self._bpe = self._whole.model.tokenize
         self._letters = _byte_letters()
         self._parts: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._most = most
-        self[""] = b""
 
     def _part(self, part: str) -> bytes:
         if (out := self._parts.get(part)) is None:
             spelt = part if part.isascii() else "".join(map(self._letters.__getitem__, part.encode()))
             out = array("I", [x.id for x in self._bpe(spelt)]).tobytes()
             if len(part) <= KEPT_LENGTH:
-                if len(self._parts) >= self._most:
+                if len(self._parts) >= self._most // 4:
                     self._parts.clear()
                 self._parts[part] = out
         return out
 
     def __missing__(self, word: str) -> bytes:
-        head = word[:-1]
-        if word.isascii() and word.isalpha():
-            out = array("I", [x.id for x in self._bpe(word.lower())]).tobytes()
-        elif word[-1] in ".," and head.isascii() and head.isalpha():
-            out = self._part(head.lower()) + self._part(word[-1])
-        elif _PLAIN.fullmatch(word):
-            out = b"".join(map(self._part, _CUT.findall(word.lower())))
-        else:
-            out = array("I", self._whole.encode(word, add_special_tokens=False).ids).tobytes()
+        out = self._old.get(word)
+        if out is None:
+            head = word[:-1]
+            if word.isascii() and word.isalpha():
+                out = array("I", [x.id for x in self._bpe(word.lower())]).tobytes()
+            elif word and word[-1] in ".," and head.isascii() and head.isalpha():
+                out = self._part(head.lower()) + self._part(word[-1])
+            elif _PLAIN.fullmatch(word):
+                out = b"".join(map(self._part, _CUT.findall(word.lower())))
+            else:
+                out = array("I", self._whole.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= KEPT_LENGTH:
             if len(self) >= self._most:
+                self._old = dict(self)
                 self.clear()
-                self[""] = b""
             self[word] = out
         return out
 
