@@ -98,7 +98,15 @@ class Database:
         self.spark, self.root, self.clock, self.files = spark, root.rstrip("/"), clock, Files(spark)
         self.listeners: list[Callable[[dict], None]] = []
         commits = [n for n in self.files.list(f"{self.root}/manifest") if n.endswith(".json") and not n.startswith("_")]
-        self.state = State(**json.loads(self.files.read(f"{self.root}/manifest/{commits[-1]}"))) if commits else State()
+        self.state, self.skipped = State(), []
+        for name in reversed(commits):  # a manifest that can't be read is left out, and the one before it holds
+            try:
+                self.state = State(**json.loads(self.files.read(f"{self.root}/manifest/{name}")))
+                break
+            except (ValueError, TypeError):
+                self.skipped.append(name)
+        if self.skipped:
+            self.state.commit = int(commits[-1].split(".")[0])  # numbers are never used again
 
     # --- catalog ---
 
@@ -306,7 +314,7 @@ class Database:
 
     def verify(self) -> list[str]:
         """Findings; none if all is well."""
-        found = []
+        found = [f"manifest/{name}: can't be read, and was left out" for name in self.skipped]
         for s in self.state.segments:
             try:
                 n = self.spark.read.parquet(f"{self.root}/{s['path']}").count()

@@ -173,3 +173,17 @@ def test_expired_documents_leave_indexes(spark, db):
     assert rows(c.index(["name"]).lookup()) == [(1,), (2,)]
     db.now[0] += 500
     assert rows(c.index(["name"]).lookup()) == [(2,)]
+
+
+def test_a_damaged_manifest_is_left_out(spark, db):
+    c = db.create_collection("t", SCHEMA)
+    c.put(docs(spark, (1, "a", 1)))
+    before = db.state.commit
+    c.put(docs(spark, (2, "b", 2)))
+    with open(f"{db.root}/manifest/{db.state.commit:012d}.json".removeprefix("file:"), "w") as f:
+        f.write("{")
+    again = Database(spark, db.root, db.clock)
+    assert rows(again.collection("t").scan()) == [(1, "a", 1)] and again.skipped and again.state.commit == before + 1
+    assert len(again.verify()) == 1
+    again.collection("t").put(docs(spark, (3, "c", 3)))
+    assert rows(Database(spark, db.root, db.clock).collection("t").scan()) == [(1, "a", 1), (3, "c", 3)]
