@@ -149,6 +149,19 @@ def key_encoded_mixed_range(t):
     return keys.id_of(keyed.where(keys.in_range(F.col("key"), index_range([], "ge", 40)))).select("_id")
 
 
+@query("SELECT c_custkey AS _id FROM customer WHERE starts_with(c_name, 'Customer#00000002')")
+def key_encoded_prefix(t):
+    """Names that begin alike are a range of key bytes, up to the successor of what they share."""
+    keyed = keys.with_key(t("customer").select("c_name", "c_custkey"), ["c_name"], "c_custkey")
+    return keys.id_of(keyed.where(keys.in_range(F.col("key"), index_range([], "starts", "Customer#00000002")))).select("_id")
+
+
+@query("SELECT c_custkey AS _id FROM customer WHERE c_nationkey = 3 AND c_acctbal <= 1000.0")
+def key_encoded_range_in_prefix(t):
+    keyed = keys.with_key(t("customer").select("c_nationkey", "c_acctbal", "c_custkey"), ["c_nationkey", "c_acctbal"], "c_custkey")
+    return keys.id_of(keyed.where(keys.in_range(F.col("key"), index_range([Num(3, "i32")], "le", 1000.0)))).select("_id")
+
+
 # --- indexes ---------------------------------------------------------------------------------
 
 
