@@ -154,3 +154,14 @@ def quality_features(text):
     runs = lambda xs, k: [tuple(xs[i : i + k]) for i in range(len(xs) - k + 1)]
     plain = [lower(w) for w in words]
     return [("word", *x) for k in (1, 2) for x in runs(plain, k)] + [("shape", *x) for k in (1, 2, 3) for x in runs(shapes, k)]
+
+
+def without_boilerplate(rows, min_sites, min_chars):
+    """rows: (text, site). Texts without the lines of min_chars characters or more that min_sites sites or more have."""
+    sites = {}
+    for text, site in rows:
+        for line in (text or "").split("\n"):
+            if len(line) >= min_chars:
+                sites.setdefault(line, set()).add(site or "")
+    bad = {line for line, s in sites.items() if len(s) >= min_sites}
+    return [None if t is None else "\n".join(x for x in t.split("\n") if x not in bad) for t, _ in rows]

@@ -261,7 +261,7 @@ def test_set_join(spark, corpus, k, percent):
     assert got == Counter(brute.jaccard_components([(d, t) for d, t, *_ in data], k, percent))
 
 
-@pytest.mark.parametrize("sizes", [{"HOT": 2, "CELL": 4, "PIVOTS": 2}, {"HOT": 2, "CELL": 4, "PIVOTS": 0, "MOST_SENT": 0}, {"HOT": 10**9, "CELL": 2, "PIVOTS": 1}, {"MOST_HOT": 3, "HOT": 2, "CELL": 8}, {"NARROW": 1, "WIDE": 1, "LEAST_BITS": 64}])
+@pytest.mark.parametrize("sizes", [{"HOT": 2, "CELL": 4, "PIVOTS": 2}, {"HOT": 2, "CELL": 4, "PIVOTS": 0, "MOST_SENT": 0}, {"HOT": 10**9, "CELL": 2, "PIVOTS": 1}, {"MOST_HOT": 3, "HOT": 2, "CELL": 8}, {"NARROW": 1, "WIDE": 1, "LEAST_BITS": 64}, {"LEAVES": 3, "CELL": 4, "HOT": 10**9, "FANOUT": 2}])
 def test_set_join_by_cells(spark, corpus, monkeypatch, sizes):
     """The ways for frequent tokens and large blocks, forced on a small table."""
     for name, value in sizes.items():
@@ -299,16 +299,25 @@ def test_trees_find_what_pairs_find():
         sets[i] = s if i < 40 else np.unique(np.concatenate([s[r.random(len(s)) > 0.04 * r.random()], r.integers(0, 2**63, 1 + int(len(s) * 0.05 * r.random())).astype(np.uint64)]))
     near = {i: {j for j in sets if i != j and setjoin.reaches(sets[i], sets[j], 85)} for i in sets}
     for per_token, exact in ((2, False), (8, True)):
-        left = {i: (len(s), setjoin.bitmap(s, per_token), None) for i, s in sets.items()}
-        for side in (None, {i: x for i, x in left.items() if i % 2}):
+        left = [(0, i, len(s), setjoin.bitmap(s, per_token), None) for i, s in sets.items()]
+        for side in (None, [x for x in left if x[1] % 2]):
             leaves = setjoin.Leaves(85)
             leaves.sets = sets if exact else {}
             setjoin.tree_pairs(left, side, leaves)
-            for i in left:
-                for j in near[i] & set(side or left):
+            for i in sets:
+                for j in near[i] & {x[1] for x in side or left}:
                     assert leaves.groups.root(i) == leaves.groups.root(j)
             if exact:
                 assert all(b in near[a] for a, b in leaves.groups.links)
+        # several blocks in one tree: leaves meet within their block only
+        leaves = setjoin.Leaves(85)
+        leaves.sets = {(i % 3, i): s for i, s in sets.items()} if exact else {}
+        setjoin.tree_pairs([(i % 3, (i % 3, i), len(s), setjoin.bitmap(s, per_token), None) for i, s in sets.items()], None, leaves)
+        assert all(a[0] == b[0] for a, b in leaves.groups.links)
+        for i in sets:
+            for j in near[i]:
+                assert i % 3 != j % 3 or leaves.groups.root((i % 3, i)) == leaves.groups.root((j % 3, j))
+        assert sum(leaves.left.values()) < sum(leaves.asked.values()) < len(sets) ** 2 / 2
 
 
 @pytest.mark.parametrize("at_once", [1 << 20, 0])
@@ -327,8 +336,9 @@ def test_sets_of_very_different_sizes_link(spark, percent, low, high):
     docs = [(1, " ".join(words[:low])), (2, " ".join(words)), (3, " ".join(words[: low - 1])), (4, " ".join(f"v{i}" for i in range(high)))]
     sets = {d: np.unique(np.array([hash(w) & (2**63 - 1) for w in t.split()], np.uint64)) for d, t in docs}
     for right in (None, 2, 1):
-        left = {d: (len(s), setjoin.bitmap(s, 2), None) for d, s in sets.items()}
-        side = None if right is None else {right: left.pop(right)}
+        left = {d: (0, d, len(s), setjoin.bitmap(s, 2), None) for d, s in sets.items()}
+        side = None if right is None else [left.pop(right)]
+        left = [*left.values()]
         leaves = setjoin.Leaves(percent)
         setjoin.tree_pairs(left, side, leaves)
         assert leaves.groups.root(1) == leaves.groups.root(2)
@@ -536,7 +546,7 @@ def test_page_model_on_held_out_pages(page_model):
 @pytest.mark.parametrize("family", ["semantic", "named", "unknown", "plain", "wrapped", "table", "encyclopedia"])
 def test_page_model_on_a_layout_it_never_saw(family):
     """Text and links carry the decision, not names. (Pages without any box around the text need to have been seen.)"""
-    model = htmltext.train(labelled_pages.pages(60, [f for f in labelled_pages.FAMILIES if f != family]))
+    model = htmltext.train(labelled_pages.pages(100, [f for f in labelled_pages.FAMILIES if f != family]))
     assert right_share(model, labelled_pages.pages(60, [family], 1000)) > 0.96
 
 
