@@ -54,7 +54,7 @@ from .words import NOT_SPACE, WordHasher, mix, shingles
 LEAST_BITS, FANOUT, CELL, PIVOTS = 128, 16, 512, 2
 NARROW, WIDE, LEAVES = 2, 8, 1024
 HOT, MOST_HOT, KEPT = 32, 1 << 16, 1 << 17
-MOST_SENT = 1 << 18
+MOST_SENT = 8 << 20
 MOST_SEEN = 1 << 20
 
 
@@ -489,10 +489,10 @@ def _tokens(texts: DataFrame, k: int, size: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, needed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, t) of the needed classes, from the row that stands for each; their ids are sent to the documents while they are few enough."""
+    """(cls, t) of the needed classes, from the row that stands for each; their ids are sent to the documents while they take MOST_SENT bytes at most."""
     stands = classes.join(needed, "cls", "left_semi").select("cls", "doc_id", "h")
     stands = materialize(stands, "stands")
-    few = stands.count() <= MOST_SENT
+    few = (stands.agg(F.sum(F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0)) + 24)).first()[0] or 0) <= MOST_SENT  # bytes
     rows = docs.select(docs[f"`{doc_id}`"].alias("d"), docs[f"`{text}`"].alias("t"), F.xxhash64(docs[f"`{text}`"]).alias("th"))
     same = rows["d"].eqNullSafe(stands["doc_id"]) & (rows["th"] == stands["h"])
     found = rows.join(F.broadcast(stands) if few else stands, same).select("cls", "t")
