@@ -336,19 +336,29 @@ class Database:
         return found
 
     def repair(self) -> list[str]:
-        """Leaves out segments that can't be read, marks their trees' indexes stale, and says which."""
-        bad = []
+        """Leaves out segments that can't be read, makes their trees' indexes anew from what is left, and says which."""
+        bad, lost = [], set()
         for s in list(self.state.segments):
             try:
                 self.spark.read.parquet(f"{self.root}/{s['path']}").count()
             except Exception:
                 bad.append(s["path"])
+                lost.add(s["tree"])
                 self.state.segments.remove(s)
-                for t in self.state.trees.values():
-                    if t["params"].get("owner") == s["tree"]:
-                        t["stale"] = True
+        for index, pieces in self.state.entries.items():
+            try:
+                for piece in pieces:
+                    self.spark.read.parquet(f"{self.root}/{piece['path']}/entries").count()
+            except Exception:
+                bad.append(piece["path"])
+                self.state.trees[index]["stale"] = True
+        for t in self.state.trees.values():
+            t["stale"] |= t["params"].get("owner") in lost
         if bad:
             self._commit([])
+        for name, t in list(self.state.trees.items()):
+            if bad and t["kind"] == "index" and t["stale"]:
+                self.collection(t["params"]["owner"]).rebuild_index(t["params"]["fields"])
         return bad
 
     def metrics(self) -> dict:

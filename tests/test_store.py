@@ -187,3 +187,17 @@ def test_a_damaged_manifest_is_left_out(spark, db):
     assert len(again.verify()) == 1
     again.collection("t").put(docs(spark, (3, "c", 3)))
     assert rows(Database(spark, db.root, db.clock).collection("t").scan()) == [(1, "a", 1), (3, "c", 3)]
+
+
+def test_repair_makes_indexes_anew(spark, db, tmp_path):
+    c = db.create_collection("t", SCHEMA)
+    c.put(docs(spark, (1, "a", 1)))
+    c.put(docs(spark, (2, "b", 2)))
+    c.create_index(["name"])
+    shutil.rmtree(tmp_path / "db" / db.state.segments[1]["path"])
+    assert any("can't be read" in f for f in db.verify())
+    assert len(db.repair()) == 1 and db.verify() == []
+    assert rows(c.index(["name"]).covering()) == [("a", 1)] and not db.state.trees["t:name"]["stale"]
+    shutil.rmtree(tmp_path / "db" / db.state.entries["t:name"][0]["path"])
+    assert db.verify() and len(db.repair()) == 1 and db.verify() == []
+    assert rows(c.index(["name"]).covering()) == [("a", 1)]
