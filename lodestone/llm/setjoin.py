@@ -461,10 +461,10 @@ def _links(cells: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
             again = materialize(asked.join(wrong, ["a", "b"], "left_semi").select("cell").distinct(), "again")
             cells = cells.join(again.hint("shuffle_hash"), "cell", "left_semi")  # dealt by cell, not read by map outputs
         left = cells.join(components(links), F.col("cls") == F.col("node"), "left").select("cell", "side", "cls", F.coalesce("root", "grp").alias("grp"))
-        # Blocks with the same least and greatest class share a task and what it finds, as long as there are no more than LEAVES rows of them.
+        # Blocks with the same least and greatest class share a task and what it finds, in turn some LEAVES rows of them.
         family = cells.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n"))
-        spread = family.groupBy("low", "high").agg(F.ceil(F.sum("n") / LEAVES).alias("spread"))
-        lead = family.join(spread, ["low", "high"]).select("cell", F.xxhash64("low", "high", F.pmod("cell", "spread")).alias("lead"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("low", "high").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        lead = family.select("cell", F.xxhash64("low", "high", F.floor(before / LEAVES)).alias("lead"))
         cells = materialize(left.join(lead, "cell"), "left")
         tokens = _tokens(_texts(docs, doc_id, text, cells.select("cls").distinct(), classes), k, size)
         asked = materialize(_candidates(cells, tokens, percent, size), "asked-again")
@@ -517,6 +517,18 @@ def _cells(rows: DataFrame) -> DataFrame:
     return inner.unionByName(outer).unionByName(across)
 
 
+def _partnered(rows: DataFrame, near) -> DataFrame:
+    """Of rows (token, cls, n, early) of tokens of any number of classes, those that some other can be near to. Told by the different sizes of
+    each token's sets, which are few and counted before they are shuffled: of a pair, the smaller set has the token early."""
+    order = Window.partitionBy("token").orderBy("n")  # a row a size
+    sizes = rows.groupBy("token", "n").agg(F.count("*").alias("c"), F.count_if("early").alias("e"))
+    sizes = sizes.withColumns({"smaller": F.max(F.when(F.col("e") > 0, F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), "larger": F.lead("n").over(order)})
+    any_ = near(F.col("smaller"), F.col("n")) | ((F.col("e") > 0) & (F.col("c") > 1))
+    first = (F.col("c") > 1) | near(F.col("n"), F.col("larger"))
+    kept = materialize(sizes.select("token", "n", any_.alias("any_"), first.alias("first_")).where("any_ or first_"), "sizes")
+    return rows.join(kept, ["token", "n"]).where("any_ or (early and first_)").select("token", "cls", "n")
+
+
 def _joined(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(sets: doc_id, h, n, cls of every row; members: cls, doc_id, h of the row that stands for each class, and root, its component)."""
     if not 1 <= percent <= 99:
@@ -544,7 +556,7 @@ def _joined(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> tu
     }).withColumn("run", F.sum(F.when(near(F.col("before"), F.col("n")), 0).otherwise(1)).over(order))
     partnered = near(F.col("early_n"), F.col("n")) | (F.col("early") & near(F.col("n"), F.col("after")))
     small = materialize(seen.where(partnered).select(F.xxhash64("token", "run").alias("cell"), "cls"), "shared")
-    large = every.join(many, "token", "left_semi").select("token", "cls", "n")
+    large = _partnered(every.join(many, "token", "left_semi"), near)
     small = small.join(_same_blocks_once(small, "cell"), "cell", "left_semi")
     small = small.select(F.xxhash64(F.lit("small"), "cell").alias("cell"), F.lit(0).alias("side"), "cls", F.lit(None).cast("long").alias("grp"))
 
