@@ -114,7 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
     known = labels.select(labels[f"`{doc_id}`"].alias("id"), labels[f"`{label}`"].cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     known = known.distinct().orderBy(F.xxhash64("id"), "id", "y").limit(most)
     texts = docs.select(docs[f"`{doc_id}`"].alias("id"), docs[f"`{text}`"].alias("t")).withColumn("h", F.xxhash64("t"))
-    pairs = texts.join(F.broadcast(known), "id").groupBy("id", "y", "h").agg(F.min("t").alias("t"))
+    pairs = texts.join(F.broadcast(known), "id")
+    if not pairs.groupBy("id", "y", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows; else no text is moved
+        pairs = pairs.groupBy("id", "y", "h").agg(F.min("t").alias("t"))
 
     def make():
         features = Features()
