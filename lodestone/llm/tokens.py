@@ -1,7 +1,7 @@
 """Token ids of public tokenizers, word by word.
 
 The tokenizer drops white space and never joins across it, so the ids of a text are those
-of its words in order. Arrow cuts a batch of texts into words and numbers the different ones
+of its words in order. Arrow cuts a batch of texts into words, in lower case, and numbers the different ones
 (exactly, by a hash table); only these are looked up, and numpy puts the ids of all texts together.
 Words are kept with their ids in a bounded memory: most words of a corpus repeat. Words of plain Latin letters, digits and signs are cut here by the
 tokenizer's own pattern and given to the library's BPE model; all others go through the
@@ -25,6 +25,8 @@ KEPT_LENGTH = 14
 #: Bytes of text that are cut into words at once.
 PIECE = 2 << 20
 _GAP = re.compile("[ \t\n\r\x0b\x0c]")
+#: A full stop or comma that ends a word.
+_SIGN = r"([a-z])([.,](?:[ \t\n\r\x0b\x0c]|$))"
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _CUT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
@@ -81,11 +83,8 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         out = self._old.get(word)
         if out is None:
-            head = word[:-1]
             if word.isascii() and word.isalpha():
-                out = array("I", [x.id for x in self._bpe(word.lower())]).tobytes()
-            elif word and word[-1] in ".," and head.isascii() and head.isalpha():
-                out = self._part(head.lower()) + self._part(word[-1])
+                out = array("I", [x.id for x in self._bpe(word)]).tobytes()
             elif _PLAIN.fullmatch(word):
                 out = b"".join(map(self._part, _CUT.findall(word.lower())))
             else:
@@ -103,6 +102,8 @@ class Encoder(dict):
     def encode_all(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a string column, one after another, as unsigned 32-bit integers; where each text starts among them, and the end). Null is an empty text; end_id follows each."""
         column = pc.fill_null(column, "").cast(pa.large_string())
+        # A copy of its own: lower-casing takes the first byte of a buffer for that of the column.
+        column = pc.ascii_lower(column.take(pa.array(np.arange(len(column)))))
         upto = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
         ids, sizes, i = [], [], 0
         while i < len(column):
@@ -121,7 +122,9 @@ class Encoder(dict):
 
     def _encode(self, column: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each text)."""
-        words = pc.ascii_split_whitespace(column)
+        # The tokenizer lower-cases and cuts before a sign that follows a letter: done first, it leaves fewer different words.
+        plain = pc.replace_substring_regex(column, _SIGN, r"\1 \2")
+        words = pc.ascii_split_whitespace(plain)
         numbered = words.flatten().dictionary_encode()
         own = [self[w] for w in numbered.dictionary.to_pylist()]
         at = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
