@@ -83,7 +83,7 @@ def test_word_hashes_of_slices_and_long_texts(monkeypatch):
     assert [w.tolist() for _, part in WordHasher(NOT_SPACE).texts(pa.array(["x", *values]).slice(1)) for w in part] == whole
 
 
-ODD = ["a", "B", "'s", "'re", "'", "é", "É", "é", "Σ", "ς", "ﬁ", "<|endoftext|>", "<|", " ", "  ", "\x1c", "\x85", "　", "日", "1", "²", "!", "—", "😀", "İ", "ß", "ẞ", "×", "µ", "\t", "\n", "\x0b", "don't", "_", "‍", "ͅ", "the", "The,"]
+ODD = ["a", "B", "'s", "'re", "'", "é", "É", "é", "Σ", "ς", "ﬁ", "<|endoftext|>", "<|", " ", "  ", "\x1c", "\x85", "　", "日", "1", "²", "!", "—", "😀", "İ", "ß", "ẞ", "×", "µ", "\t", "\n", "\x0b", "don't", "_", "‍", "ͅ", "the", "The,", "A.", "b,.", "I.", "K"]
 
 
 @settings(max_examples=300, deadline=None)
@@ -101,6 +101,11 @@ def test_long_texts_are_encoded_by_pieces(monkeypatch):
     ids, starts = tokens.Encoder(vocabulary_path()).encode_all(pa.array(["drop", *values]).slice(1), 2)
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [brute.ids(v) for v in values]
     assert tokens.Encoder(vocabulary_path()).encode_all(pa.array([], pa.string()), 2)[1].tolist() == [0]
+    column = pa.array([f"{v or ''} Word. WORD, ÉÉ. a.b, It's." for v in values] * 9, pa.large_string())
+    for low in (0, 3, 20):  # parts of one buffer, again as a part of a record batch
+        for part in (column.slice(low, 15), pa.RecordBatch.from_arrays([column], ["c"]).slice(low, 15).column(0)):
+            ids, starts = tokens.Encoder(vocabulary_path()).encode_all(part, 2)
+            assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [brute.ids(v) for v in part.to_pylist()]
 
 
 test_encoder_is_the_tokenizer.encoder = Encoder(vocabulary_path(), most=50)
