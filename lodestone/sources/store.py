@@ -103,7 +103,9 @@ class Database:
             try:
                 self.state = State(**json.loads(self.files.read(f"{self.root}/manifest/{name}")))
                 break
-            except (ValueError, TypeError):
+            except Exception as e:
+                if not isinstance(e, (ValueError, TypeError)) and "ChecksumException" not in str(e):
+                    raise  # a store that can't be reached is no damage
                 self.skipped.append(name)
         if self.skipped:
             self.state.commit = int(commits[-1].split(".")[0])  # numbers are never used again
@@ -277,7 +279,7 @@ class Database:
     def backup(self, target: str, known: set[str] | None = None) -> list[str]:
         """Copies segments (only those not in known: incremental) and the manifest; the copy is checked before this returns."""
         copied = [s["path"] for s in self.state.segments if s["path"] not in (known or set())]
-        pieces = [x["path"] for xs in self.state.entries.values() for x in xs if x["path"] not in (known or set())]
+        pieces = [x["path"] for xs in self.state.entries.values() for x in xs if not self.files.list(f"{target}/{x['path']}")]
         for p in copied + pieces:
             self.files.copy(f"{self.root}/{p}", f"{target}/{p}")
         self.files.write_new(f"{target}/manifest/{self.state.commit:012d}.json", json.dumps(self.state.__dict__))

@@ -201,3 +201,15 @@ def test_repair_makes_indexes_anew(spark, db, tmp_path):
     shutil.rmtree(tmp_path / "db" / db.state.entries["t:name"][0]["path"])
     assert db.verify() and len(db.repair()) == 1 and db.verify() == []
     assert rows(c.index(["name"]).covering()) == [("a", 1)]
+
+
+def test_backups_hold_indexes(spark, db, tmp_path):
+    c = db.create_collection("t", SCHEMA)
+    c.put(docs(spark, (1, "a", 1)))
+    c.create_index(["name"])
+    target = str(tmp_path / "copy")
+    first = db.backup(target)
+    c.put(docs(spark, (2, "b", 2)))
+    db.backup(target, set(first))
+    copy = Database(spark, target, db.clock)
+    assert rows(copy.collection("t").index(["name"]).covering()) == [("a", 1), ("b", 2)] and copy.verify() == []
