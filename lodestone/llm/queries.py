@@ -8,8 +8,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, fingerprints, htmltext, labelled_pages, linededup, neighbours, packing, setjoin, sharding, sstable, urlfilter
-from .store import materialize, new_path
+from . import classify, decontaminate, htmltext, labelled_pages, linededup, neighbours, packing, setjoin, sharding, sstable, urlfilter
+from .store import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
