@@ -52,7 +52,7 @@ from .store import discard, materialize
 from .words import NOT_SPACE, WordHasher, mix, shingles
 
 LEAST_BITS, FANOUT, CELL, PIVOTS = 128, 16, 512, 2
-NARROW, WIDE, LEAVES = 2, 8, 1024
+NARROW, WIDE, LEAVES, LEAD = 2, 8, 1024, 256
 HOT, MOST_HOT, KEPT = 32, 1 << 16, 1 << 17
 MOST_SENT = 8 << 20
 MOST_SEEN = 1 << 20
@@ -461,10 +461,10 @@ def _links(cells: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
             again = materialize(asked.join(wrong, ["a", "b"], "left_semi").select("cell").distinct(), "again")
             cells = cells.join(again.hint("shuffle_hash"), "cell", "left_semi")  # dealt by cell, not read by map outputs
         left = cells.join(components(links), F.col("cls") == F.col("node"), "left").select("cell", "side", "cls", F.coalesce("root", "grp").alias("grp"))
-        # Blocks with the same least and greatest class share a task and what it finds, in turn some LEAVES rows of them.
+        # Blocks with the same least and greatest class share a task and what it finds, in turn some LEAD rows of them.
         family = cells.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy("low", "high").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        lead = family.select("cell", F.xxhash64("low", "high", F.floor(before / LEAVES)).alias("lead"))
+        lead = family.select("cell", F.xxhash64("low", "high", F.floor(before / LEAD)).alias("lead"))
         cells = materialize(left.join(lead, "cell"), "left")
         tokens = _tokens(_texts(docs, doc_id, text, cells.select("cls").distinct(), classes), k, size)
         asked = materialize(_candidates(cells, tokens, percent, size), "asked-again")
